@@ -59,6 +59,32 @@ def _changes(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
     return [i + 1 for i in pc.indices_nonzero(moved).to_pylist()] if n > 1 else []
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 8192) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of equal keys, of ``rows`` rows or one group, with the places where groups begin and the end."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def told(parts: list[pa.RecordBatch]) -> tuple[pa.Table, list[int]]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        return table, [0, *_changes(table.to_batches()[0], keys), table.num_rows]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = _changes(table.to_batches()[0], keys)
+        if cut:
+            yield told(table.slice(0, cut[-1]).to_batches())
+            held = table.slice(cut[-1]).to_batches()
+            count = table.num_rows - cut[-1]
+    if held:
+        yield told(held)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``: the smallest node that links reach.
 
