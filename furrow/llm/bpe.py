@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOM, _LONG = 400_000, 128
 
@@ -191,4 +192,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids")
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "decoded"])
 
     kept = encoded.select(*names)
-    return kept.mapInArrow(run, kept.schema.add("decoded", "binary"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
@@ -246,4 +247,4 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", html_column: str =
                 texts = pa.array([extract(h.as_py()) for h in batch.column(1)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], texts], ["id", *carry, "text"])
 
-    return rows.mapInArrow(run, rows.drop("html").schema.add("text", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.drop("html").schema.fields, T.StructField("text", T.StringType())]))
