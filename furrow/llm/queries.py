@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, fingerprints, html_extract, langid, minmax_dedup, mixing, toxicity, warc
+from . import bpe, embed_dedup, fingerprints, html_extract, langid, minmax_dedup, mixing, ngram_lm, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = _fold(7, 2, "doc_id")
+    model = ngram_lm.train(docs.where(~held))
+    return ngram_lm.scores(docs, model, held).withColumnRenamed("id", "doc_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read(warc.write(_table(spark, sf_dir, "pages")), payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extract": op5_html_extract,
     "op6_embed_dedup": op6_embed_dedup,
     "op7_bpe": op7_bpe,
+    "op8_ngram_lm": op8_ngram_lm,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
