@@ -246,11 +246,10 @@ def run_matrix(instances: DataFrame, configs: list[Config], vehicles: list[Vehic
     return grid.mapInPandas(run, _RUN)
 
 
-def analytic_reference(area: float, parts: int, diameter: float, vehicle: Vehicle, spacing: float | None) -> dict:
-    """Bounds known before any run: twice the work of a full cover plus a worst transfer for each pair of strips."""
-    n = parts
-    path = 2 * area / vehicle.width + n * n * (diameter + math.pi * vehicle.radius)
-    return {"ref_path_length": path, "ref_headland_turns": float(max(n, 1)), "ref_row_crossings": path / spacing if spacing else 1.0}
+def reference_length(area, parts, diameter, width: float, radius: float):
+    """A bound known before any run, in numbers or columns: twice the work of a full cover, and a transfer between each
+    pair of parts along the field's diameter and half a turn."""
+    return 2 * area / width + parts * parts * (diameter + math.pi * radius)
 
 
 def rectangles(part: DataFrame) -> DataFrame:

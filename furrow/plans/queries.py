@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -431,3 +432,89 @@ def exchange_runs(spark, d):
 def license_census(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("license")).agg(F.count("*").alias("n_fields"), F.sum(F.col("p_brand").isin("Brand#1", "Brand#2").cast("long")).alias("n_allowed"))
 
+
+
+@query("""SELECT p_partkey AS field_id, round(2 * (w * h) / 5.0 + sqrt(w * w + h * h) + pi() * 2, 6) AS ref_path_length, 1.0::DOUBLE AS ref_headland_turns, round((2 * (w * h) / 5.0 + sqrt(w * w + h * h) + pi() * 2) / 0.75, 6) AS ref_row_crossings FROM (SELECT p_partkey, p_retailprice / 10.0 AS w, p_size + 30.0 AS h FROM part)""")
+def analytic_references(spark, d):
+    w, h = F.col("p_retailprice") / 10.0, F.col("p_size") + 30.0
+    path = coverage.reference_length(w * h, F.lit(1), F.hypot(w, h), 5.0, 2.0)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("field_id"), F.round(path, 6).alias("ref_path_length"), F.lit(1.0).alias("ref_headland_turns"), F.round(path / 0.75, 6).alias("ref_row_crossings"))
+
+
+@query()
+def reeds_shepp_lengths(spark, d):
+    """Shortest lengths with reverse gear between the poses of :func:`dubins_lengths`, which they never exceed."""
+    from ..functions import kinematics
+
+    @F.pandas_udf("double")
+    def length(x: pd.Series, y: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([2.5 * kinematics.reeds_shepp((0.0, 0.0, s), (dx, dy, e), 2.5)[0].length for dx, dy, s, e in zip(x, y, a, b)])
+
+    p = table(spark, d, "part")
+    return p.select("p_partkey", F.round(length(F.col("p_retailprice") / 100.0, F.col("p_size") - 25.0, F.col("p_size") / 8.0, F.col("p_partkey") % 63 / 10.0), 6).alias("length"))
+
+
+@query()
+def coverage_runs(spark, d):
+    """The thirteen configurations on a field with a notch for each supplier, with either vehicle."""
+    size = 60.0 + F.col("s_acctbal") % 40.0
+    corner = F.round(F.abs(size), 3).cast("string")
+    half = F.round(F.abs(size) / 2, 3).cast("string")
+    wkt = F.concat(F.lit("POLYGON ((0 0, "), corner, F.lit(" 0, "), corner, F.lit(" "), half, F.lit(", "), half, F.lit(" "), half, F.lit(", "), half, F.lit(" "), corner, F.lit(", 0 "), corner, F.lit(", 0 0))"))
+    vehicle = F.explode(F.array(F.lit(0), F.lit(1)))
+    fields = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("field_id"), wkt.alias("wkt"), vehicle.alias("vehicle_index"))
+    instances = fields.select(F.concat_ws(":", "field_id", F.col("vehicle_index").cast("string")).alias("instance_id"), "wkt", "vehicle_index", F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
+    vehicles = [coverage.Vehicle(5.0, 2.0, 2.0), coverage.Vehicle(5.0, 2.0, 2.5, can_reverse=True)]
+    return coverage.run_matrix(instances.repartition(spark.sparkContext.defaultParallelism), coverage.standard_configs(), vehicles).drop("planning_s")
+
+
+@query("SELECT count(*) AS n_entries, 0::BIGINT AS n_altered, 0::BIGINT AS n_broken FROM nation")
+def log_verification(spark, d):
+    """A log of the nations, chained and verified again."""
+    import json
+
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 at any scale
+    log = [(e["index"], json.dumps(e["payload"]), e["prev_hash"], e["entry_hash"]) for e in splits.chain([r.asDict() for r in rows])]
+    return splits.verify_chain(spark.createDataFrame(log, "index long, payload string, prev_hash string, entry_hash string"))
+
+
+@query()
+def recommender_cross_validation(spark, d):
+    """Predicted regrets at the three vertices, from the vehicle and the return flag, folds by field."""
+    from ..operators import recommender
+
+    runs = _runs(spark, d)
+    r = regret.regrets(runs).where("preference < 3").groupBy("field_id", "instance_id", "config_id", "vehicle_index").pivot("preference", [0, 1, 2]).agg(F.first("regret"))
+    r = r.toDF("field_id", "instance_id", "config_id", "vehicle_index", "e1", "e2", "e3").join(splits.grouped_folds(runs), "field_id")
+    flag = F.split_part("instance_id", F.lit(":"), F.lit(2))
+    r = r.withColumn("flag", F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0)).withColumn("vehicle", F.col("vehicle_index").cast("double"))
+    return recommender.cross_predict(r, ["vehicle", "flag"], ["e1", "e2", "e3"], trees=10)
+
+
+@query()
+def recommender_test(spark, d):
+    """The single best configuration's loss less half of a random applicable one's, by field, under sign flips."""
+    r = regret.regrets(_runs(spark, d))
+    best = regret.single_best(regret.field_losses(r)).select("config_id")
+    ours = regret.field_losses(r).join(F.broadcast(best), "config_id").select("field_id", F.col("loss").alias("ours"))  # one row
+    random = regret.random_baselines(r).where("random_applicable IS NOT NULL").withColumn("field_id", F.split_part("instance_id", F.lit(":"), F.lit(1)))
+    random = random.groupBy("field_id", "instance_id").agg(F.avg("random_applicable").alias("x")).groupBy("field_id").agg(F.avg("x").alias("random"))
+    found = ours.join(random, "field_id").select("field_id", (F.col("ours") - 0.5 * F.col("random")).alias("difference")).orderBy("field_id")
+    values = [x.difference for x in found.select("difference").collect()]  # one number a field, as the seeded test needs
+    return spark.createDataFrame([(len(values), sum(values) / max(1, len(values)), splits.sign_flip_p(values) if values else 1.0)], "n_fields long, mean_difference double, p double")
+
+
+@query()
+def evolution_ledger(spark, d):
+    """A few fixed candidates against a small pool; the ledger of an evolution is a replay of its seeds."""
+    import json
+
+    import numpy as np
+
+    from . import evolution
+
+    sources = ("def f(p):\n    return 0.0\n", "def f(p):\n    return 0.1 * p['elongation']\n", "def f(p):\n    return 9.0\n", "import os\n")
+    pool = {"a": np.array([5.0, 5.0, 5.0]), "b": np.array([4.0, 6.0, 5.0])}
+    points = lambda f, i: pool[i] - f({"elongation": 2.0})
+    _, log = evolution.evolve(pool, points, lambda r, k: sources[int(r.integers(0, len(sources)))], 6, np.array([10.0, 10.0, 10.0]), [{"elongation": 1.0}, {"elongation": 3.0}])
+    return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")
