@@ -67,7 +67,7 @@ def read_checkpoint(spark: SparkSession, path: str, schema: T.StructType | str)
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     keys = rows.groupBy("run_key").agg(F.count("*").alias("times"))
     one = F.when(F.col("times") == 1, F.col("run_key")).otherwise(F.raise_error(F.concat(F.lit("repeated run key "), F.col("run_key"))))
-    return rows.join(keys.withColumn("checked", one), "run_key").drop("times", "checked")
+    return rows.join(keys.select("run_key", one.alias("checked")), "run_key").withColumn("run_key", F.col("checked")).drop("checked")
 
 
 def remaining(grid: DataFrame, done: DataFrame) -> DataFrame:
@@ -173,4 +173,4 @@ def read_routing(spark: SparkSession, path: str) -> DataFrame:
             frame = pd.DataFrame(out, columns=["name", "kind", "edge_weights", "capacity", "start", "trucks", "node_id", "x", "y", "demand"])
             yield frame.astype({"trucks": "Int64", "capacity": "float64"})
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, schema)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
