@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, fingerprints, html_extract, langid, minmax_dedup, mixing, ngram_lm, toxicity, warc
+from . import bpe, embed_dedup, fingerprints, html_extract, langid, minmax_dedup, mixing, ngram_lm, sql, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_near_dedup": sql.OP4, "op6_embed_dedup": sql.OP6, "op9_warc": sql.OP9}
