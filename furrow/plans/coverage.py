@@ -130,6 +130,24 @@ def order(swaths: list, route: str, angle: float, radius: float, params: dict) -
     return out
 
 
+@dataclass
+class Segment:
+    """A piece of a path: WORK, TURN or TRANSIT, its points, the curvature it declares, and whether it backs up."""
+
+    kind: str
+    points: np.ndarray
+    curvature: float = 0.0
+    reversing: bool = False
+
+    @property
+    def length(self) -> float:
+        return float(np.hypot(*np.diff(self.points, axis=0).T).sum())
+
+
+def _driven(swath, ahead: bool):
+    return swath if ahead else swath[::-1]
+
+
 def _pose(swath, ahead: bool, leave: bool) -> kin.Pose:
     a, b = swath if ahead else swath[::-1]
     p = b if leave else a
@@ -177,7 +195,7 @@ def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | N
         turn = [(k, i % 2 == 0) for c in sorted(set(ranks)) for i, (k, _) in enumerate([t for t in turn if ranks[t[0]] == c])]
     work = sum(math.dist(*s) for s in swaths)
     transfers, ok = 0.0, True
-    pieces = [(math.dist(*swaths[turn[0][0]]), True)]
+    segments = [Segment("WORK", np.array(_driven(swaths[turn[0][0]], turn[0][1])))]
     crossings = sum(_crossed(*swaths[k], rows) for k, _ in turn)
     for (a, fa), (b, fb) in zip(turn, turn[1:]):
         start, goal = _pose(swaths[a], fa, True), _pose(swaths[b], fb, False)
@@ -191,10 +209,12 @@ def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | N
             chosen = min(words, key=lambda w: (w.cost(vehicle.radius, multiplier, penalty), w.name))
         transfers += chosen.length * vehicle.radius
         crossings += _crossed(start[:2], goal[:2], rows)
-        pieces += [(chosen.length * vehicle.radius, False), (math.dist(*swaths[b]), True)]
+        reverse = any(v < -1e-12 for _, v in chosen.steps)
+        curvature = 1 / vehicle.radius if any(k != "S" and abs(v) > 1e-12 for k, v in chosen.steps) else 0.0
+        segments += [Segment("TURN", kin.sample(start, chosen, vehicle.radius, step), curvature, reverse), Segment("WORK", np.array(_driven(swaths[b], fb)))]
     return {
         "status": "ok" if ok else "constraint_violation", "failure_reason": None if ok else "validator_rejected:outside_area",
-        "path_length": work + transfers, "headland_turns": float(len(turn) - 1), "row_crossings": crossings, "n_swaths": len(swaths), "work_m": work, "transfer_m": transfers,
+        "path_length": work + transfers, "headland_turns": float(len(turn) - 1), "row_crossings": crossings, "n_swaths": len(swaths), "work_m": work, "transfer_m": transfers, "segments": segments,
     }
 
 
