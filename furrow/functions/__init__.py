@@ -1 +1 @@
-""""""
+"""Column formulas and numpy kernels."""

@@ -1 +1 @@
-""""""
+"""Analyses of the run matrix, paths and routes, as DataFrame operations."""

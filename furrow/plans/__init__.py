@@ -1 +1 @@
-""""""
+"""Plans composed of operators, and the registered queries."""
