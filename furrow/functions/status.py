@@ -12,7 +12,7 @@ EXCHANGE_STATUSES = ("ok", "timeout", "memout", "not_applicable", "crash")
 #: Statuses of a pipeline run that keep their name in the corpus.
 NAMED_STATUSES = ("ok", "timeout", "memout", "crash", "invalid_input")
 #: Statuses of a pipeline run that mean that a configuration doesn't apply.
-INAPPLICABLE = ("unsupported", "infeasible", "kinematically_infeasible", "not_applicable")
+INAPPLICABLE = ("unsupported", "infeasible", "infeasible_kinematics", "not_applicable")
 _PREFIX = "validator_rejected:"
 
 
@@ -38,7 +38,7 @@ def corpus_status(status: Column, reason: Column, headland: Column, turning_radi
     A violated constraint is not applicable where there is no headland and the vehicle can't turn in place, else
     the class that the validator told; an unknown status is an error.
     """
-    rejected = F.when((headland == "no_headland") & (turning_radius > 0), F.lit("not_applicable")).otherwise(rejection_class(reason))
+    rejected = F.when((headland == "no_headland") & (turning_radius > 0), F.lit("not_applicable")).otherwise(F.coalesce(rejection_class(reason), F.raise_error(F.lit("a violated constraint without a class"))))
     named = F.when(status.isin(*NAMED_STATUSES), status).when(status.isin(*INAPPLICABLE), F.lit("not_applicable"))
     named = named.when(status.isin("collision", "numerical_error"), status).when(status == "constraint_violation", rejected)
     return named.otherwise(F.raise_error(F.concat(F.lit("unknown status: "), status)))

@@ -99,9 +99,9 @@ def validate(problem: Problem, vehicle: Vehicle, segments: list[Segment], *, thr
             return _refused("collision", "collision")
     limit = math.inf if vehicle.radius <= 1e-9 else 1 / vehicle.radius
     if max(abs(s.curvature) for s in segments) > limit * (1 + 1e-12):
-        return _refused("kinematically_infeasible", "curvature_limit")
+        return _refused("infeasible_kinematics", "curvature_limit")
     if any(s.reversing for s in segments) and not vehicle.can_reverse:
-        return _refused("kinematically_infeasible", "reverse_without_gear")
+        return _refused("infeasible_kinematics", "reverse_without_gear")
     outside = sum(geo.overlay_areas(b, [[problem.field]])["outside"] for b in body)
     if outside > epsilon * 1e3:
         return _refused("constraint_violation", "outside_area")

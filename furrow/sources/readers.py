@@ -7,20 +7,24 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as geo
 
+#: Licences of fields, those that permit analysis and those that permit redistribution.
+LICENSES = ("public-domain", "cc0-1.0", "cc-by-4.0", "cc-by-sa-3.0-ee", "non-commercial", "unknown")
+FOR_ANALYSIS = ("public-domain", "cc0-1.0", "cc-by-sa-3.0-ee", "non-commercial")
+FOR_REDISTRIBUTION = ("public-domain", "cc0-1.0", "cc-by-sa-3.0-ee")
 #: A field id's prefix gives its source, licence and coordinate system.
-PREFIXES = {"NL": ("netherlands_parcels", "CC0", "EPSG:28992"), "EE": ("estonia_parcels", "CC-BY", "EPSG:3301"), "CH": ("switzerland_parcels", "OPEN", "EPSG:2056")}
-UNKNOWN = ("unknown", "UNKNOWN", "UNKNOWN")
+PREFIXES = {"NL": ("PDOK/Nationaal-Georegister", "public-domain", "EPSG:28992"), "EE": ("INSPIRE-EE", "cc-by-sa-3.0-ee", "EPSG:3301"), "LT": ("geoportal-lt", "non-commercial", "EPSG:3346")}
+UNKNOWN = ("unknown", "unknown", "EPSG:4326")
 FIELD = "field_id string, wkt string, source string, license string, source_crs string, working_crs string"
 #: The columns of a comparison table, in this order.
 COMPARISON = (
-    "request_id", "field_area_m2", "headland_area_m2", "main_area_m2", "swath_count", "swath_length_sum_m", "path_length_m", "entry_leg_m", "turn_total_m", "inter_cell_m", "exit_leg_m",
-    "working_crs", "route_algorithm",
+    "request_id", "path_length", "swath_count", "swath_length_sum", "main_field_area", "transit_entry_leg_m", "transit_turn_total_m", "transit_turn_count", "transit_inter_cell_m",
+    "transit_exit_leg_m", "transit_other_m", "working_crs", "route_algorithm",
 )
 _TEXT = {"request_id", "working_crs", "route_algorithm"}
 
@@ -58,7 +62,7 @@ def unfit(text: str) -> str | None:
 def read_field_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Exported fields, one JSON object a line; a broken line or an unknown licence is an error, blank lines are not."""
     rows = spark.read.schema(FIELD).option("mode", "FAILFAST").json(path)
-    known = F.col("license").isin(*{v[1] for v in PREFIXES.values()})
+    known = F.col("license").isin(*LICENSES)
     return rows.withColumn("license", F.when(known, F.col("license")).otherwise(F.raise_error(F.concat(F.lit("unknown licence of "), F.coalesce("field_id", F.lit("?"))))))
 
 
@@ -174,3 +178,17 @@ def read_routing(spark: SparkSession, path: str) -> DataFrame:
             yield frame.astype({"trucks": "Int64", "capacity": "float64"})
 
     return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+
+
+#: Coordinates within these are degrees; a projected x is at least so large somewhere.
+DEGREES, LEAST_EASTING = (180.0, 90.0), 1.0e4
+
+
+def crs_fault(x_low: Column, x_high: Column, y_low: Column, y_high: Column, geographic: Column) -> Column:
+    """Why a field's bounds can't be in the declared kind of coordinates; null if they can.
+
+    Only the plain ranges are looked at: metres declared as degrees, and degrees declared as metres.
+    """
+    x, y = F.greatest(F.abs(x_low), F.abs(x_high)), F.greatest(F.abs(y_low), F.abs(y_high))
+    degrees = (x <= DEGREES[0]) & (y <= DEGREES[1])
+    return F.when(geographic & (x > LEAST_EASTING), F.lit("metres declared as degrees")).when(~geographic & degrees, F.lit("degrees declared as metres"))

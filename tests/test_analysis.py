@@ -25,7 +25,7 @@ def test_status(spark):
 
 
 def test_corpus_status(spark):
-    rows = [("infeasible", None, "uniform_headland", 2.0, "not_applicable"), ("constraint_violation", "validator_rejected:outside_area", "no_headland", 2.0, "not_applicable"), ("constraint_violation", "validator_rejected:outside_area", "uniform_headland", 2.0, "outside_area"), ("collision", None, "no_headland", 2.0, "collision"), ("ok", None, "no_headland", 0.0, "ok")]
+    rows = [("infeasible_kinematics", None, "uniform_headland", 2.0, "not_applicable"), ("infeasible", None, "uniform_headland", 2.0, "not_applicable"), ("constraint_violation", "validator_rejected:outside_area", "no_headland", 2.0, "not_applicable"), ("constraint_violation", "validator_rejected:outside_area", "uniform_headland", 2.0, "outside_area"), ("collision", None, "no_headland", 2.0, "collision"), ("ok", None, "no_headland", 0.0, "ok")]
     d = spark.createDataFrame(rows, "s string, r string, h string, t double, want string")
     assert d.where(status.corpus_status(F.col("s"), F.col("r"), F.col("h"), F.col("t")) != F.col("want")).count() == 0
     with pytest.raises(Exception, match="unknown status"):

@@ -17,13 +17,13 @@ def test_field_archives(spark, tmp_path):
         z.writestr("NL_1.wkt", SQUARE)
         z.writestr("XX_2.wkt", SQUARE)
         z.writestr("EE_3.wkt", "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))")
-        z.writestr("CH_4.wkt", "POINT (0 0)")
+        z.writestr("LT_4.wkt", "POINT (0 0)")
         z.writestr("read.me", "")
     fields = readers.read_field_archives(spark, str(tmp_path / "*.zip"))
     got = {r.field_id: r for r in fields.collect()}
-    assert got["NL_1"].license == "CC0" and got["NL_1"].reason is None and got["XX_2"].license == "UNKNOWN"
-    assert "crosses" in got["EE_3"].reason and "polygon" in got["CH_4"].reason and len(got) == 4
-    m = sinks.export_fields(fields, str(tmp_path / "out"), ("CC0",))
+    assert got["NL_1"].license == "public-domain" and got["NL_1"].reason is None and got["XX_2"].license == "unknown"
+    assert "crosses" in got["EE_3"].reason and "polygon" in got["LT_4"].reason and len(got) == 4
+    m = sinks.export_fields(fields, str(tmp_path / "out"), readers.FOR_REDISTRIBUTION)
     assert (m["input"], m["quarantined"], m["filtered"], m["exported"]) == (4, 2, 1, 1)
     assert [r.field_id for r in readers.read_field_corpus(spark, str(tmp_path / "out")).collect()] == ["NL_1"]
     (tmp_path / "bad.jsonl").write_text(json.dumps({"field_id": "a", "license": "MINE"}) + "\n\n")
@@ -49,7 +49,7 @@ def test_comparison(spark, tmp_path):
     head = ",".join(readers.COMPARISON)
     line = ",".join(["r1", *["1.5"] * 10, "EPSG:1", "boustrophedon"])
     (tmp_path / "a.csv").write_text(f"{head}\n{line}\n")
-    assert readers.read_comparison(spark, str(tmp_path / "a.csv")).first().path_length_m == 1.5
+    assert readers.read_comparison(spark, str(tmp_path / "a.csv")).first().path_length == 1.5
     for text in (f"{head},x\n{line},1\n", f"{head}\n{line}\n{line}\n", f"{head}\n{line.replace('1.5', 'x', 1)}\n", f"{head}\n{line.replace('1.5', 'NaN', 1)}\n", f"{head}\n{line.replace('EPSG:1', ' ')}\n"):
         (tmp_path / "b.csv").write_text(text)
         with pytest.raises(Exception):  # noqa: B017
@@ -91,3 +91,12 @@ def test_resumed_stream(spark, tmp_path):
     (tmp_path / "in/2.json").write_text('{"run_key": "b", "x": 2}\n{"run_key": "c", "x": 3}\n')
     go()
     assert sorted(r.run_key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+def test_declared_coordinates(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(155000.0, 156000.0, 463000.0, 464000.0, True, "metres"), (5.0, 5.1, 52.0, 52.1, False, "degrees"), (5.0, 5.1, 52.0, 52.1, True, None), (155000.0, 156000.0, 463000.0, 464000.0, False, None)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double, g boolean, want string")
+    got = d.select("want", readers.crs_fault(*(F.col(c) for c in "abcdg")).alias("fault")).collect()
+    assert all((r.fault is None) == (r.want is None) and (r.want is None or r.fault.startswith(r.want)) for r in got)
