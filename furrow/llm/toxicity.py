@@ -1,7 +1,7 @@
 """Toxicity: a logistic classifier over word stems, regularised by counterfactuals.
 
 Features are the words of a text and their prefixes of 3 to 6 letters, present or not. A feature is used if its
-share among toxic texts differs from that among others by ``least_z`` standard errors. Weights are fitted by
+share among toxic texts, at least three of them, differs from that among others by ``least_z`` standard errors. Weights are fitted by
 AdaGrad on the logistic loss plus ``penalty`` times the squared change of the score's logit when the identity
 terms of a text are swapped for another of their group or removed, so that a mention of a group alone moves the
 score as little as possible.
@@ -29,7 +29,7 @@ IDENTITIES = (
     ("black", "white", "asian", "latino"), ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives"), ("immigrant", "refugee", "native"), ("disabled", "deaf", "blind"), ("elderly", "young"),
 )
-TRAIN_ROWS, THRESHOLD = 10_000, 0.5
+TRAIN_ROWS, THRESHOLD = 6_000, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _ROOM = 300_000
 
@@ -87,30 +87,41 @@ def counterfactuals(words: set[str], identities=IDENTITIES) -> list[set[str]]:
     return [{swap.get(w, w) for w in words}, {w for w in words if w not in swap}]
 
 
-def fit(texts: list[str | None], toxic: list[int], *, identities=IDENTITIES, penalty: float = 1.0, least_z: float = 4.0, most_features: int = 4096, epochs: int = 40, seed: int = 5) -> Model:
+def fit(texts: list[str | None], toxic: list[int], *, identities=IDENTITIES, penalty: float = 1.0, least_z: float = 4.0, most_features: int = 2048, epochs: int = 40, seed: int = 5) -> Model:
     """Fits on texts in memory. With no text, or none of either kind, every score is the smoothed base rate."""
-    bags = [words_of(t) for t in texts]
     y = np.array(toxic, np.float32)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     prior = math.log((n1 + 0.5) / (n0 + 0.5)) if len(y) else math.log(0.5 / 9.5)
     if not n1 or not n0:
         return Model({}, np.array([min(prior, -2.0) if not n1 else prior]))
-    seen = (Counter(), Counter())
-    for bag, label in zip(bags, toxic):
-        seen[label].update({n for w in bag for n in _names(w)})
+    # texts are read again in each pass, so that what is held grows with the toxic ones' features alone
+    seen: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if label:
+            seen.update({n for w in words_of(text) for n in _names(w)})
+    seen = Counter({n: c for n, c in seen.items() if c >= 3})
+    others: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if not label:
+            others.update({n for w in words_of(text) for n in _names(w) if n in seen})
     z = {}
-    for name in seen[1].keys() | {k for k, v in seen[0].items() if v >= 16}:
-        a, b = seen[1][name], seen[0][name]
-        if a + b >= 4:
-            p = (a + b) / (n1 + n0)
-            z[name] = (a / n1 - b / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    for name, a in seen.items():
+        p = (a + others[name]) / (n1 + n0)
+        z[name] = (a / n1 - others[name] / n0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     chosen = sorted((n for n in z if abs(z[n]) >= least_z), key=lambda n: (-abs(z[n]), n))[:most_features]
+    del seen, others, z
     features = {n: i for i, n in enumerate(sorted(chosen))}
     width = len(features) + 1
-    x = np.stack([_row(b, features, width) for b in bags]).astype(np.uint8)
-    pairs = [(k, c) for k, b in enumerate(bags) for c in counterfactuals(b, identities)]
-    change = np.stack([x[k].astype(np.float32) - _row(c, features, width) for k, c in pairs]) if pairs else np.zeros((0, width), np.float32)
-    change = change[np.abs(change).any(1)]
+    x = np.zeros((len(y), width), np.uint8)
+    changes = []
+    for k, text in enumerate(texts):
+        bag = words_of(text)
+        x[k] = _row(bag, features, width)
+        for other in counterfactuals(bag, identities):
+            moved = x[k].astype(np.float32) - _row(other, features, width)
+            if moved.any():
+                changes.append(moved)
+    change = np.stack(changes) if changes else np.zeros((0, width), np.float32)
     w = np.zeros(width, np.float64)
     w[-1] = prior
     gathered = np.full(width, 1e-6)
