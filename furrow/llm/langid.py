@@ -1,18 +1,16 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
 A text's words (runs of letters, lower-cased) give character 2- to 4-grams with word ends marked, hashed into
-buckets; the mean of the buckets' vectors goes through a linear softmax. Both are trained by stochastic gradient
+buckets in vectorised numpy; the mean of the buckets' vectors goes through a linear softmax. Both are trained by stochastic gradient
 descent in numpy. A temperature is fitted on a part left out of training; the rejection threshold is the
 calibrated score below which only ``reject_share`` of that part's right predictions lie, and at most 0.5.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +20,47 @@ from pyspark.sql import functions as F
 from .sampling import about
 
 TRAIN_ROWS, BUCKETS, DIMENSIONS, UNKNOWN = 2_000, 1 << 16, 16, "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_ROOM = 200_000
-
-
-def _buckets(word: str, buckets: int) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + k].encode()) % buckets for k in (2, 3, 4) for i in range(len(marked) - k + 1)]
-
-
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+#: Code points of a text that are looked at together; a longer text is cut at a blank.
+_PART = 1 << 20
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def _parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > _PART:
+        cut = text.rfind(" ", at, at + _PART)
+        cut = cut + 1 if cut > at else at + _PART
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def grams(text: str | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """The buckets of a text's subwords, with repeats, for each part of a long text; none if it has no letter."""
+    for part in _parts(text or ""):
+        codes = np.frombuffer(part.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = _letters()[codes]
+        if not letter.any():
+            continue
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # what follows a word becomes its end mark, 0
+        c = np.concatenate([[0], np.where(letter, codes, 0)[keep], [0]]).astype(np.uint32)
+        if not c[-2]:
+            c = c[:-1]
+        inner = c != 0
+        step = np.uint32(0x9E3779B1)
+        h2 = c[:-1] * step + c[1:]
+        h3 = h2[:-1] * step + c[2:]
+        h4 = h3[:-1] * step + c[3:] if len(c) > 3 else c[:0]
+        found = np.concatenate([h2 + np.uint32(2), h3[inner[1:-1]] + np.uint32(3), h4[inner[1:-2] & inner[2:-1]] + np.uint32(4)])
+        found ^= found >> np.uint32(15)
+        found *= np.uint32(0x2C1B3C6D)
+        found ^= found >> np.uint32(12)
+        yield found % np.uint32(buckets)
 
 
 @dataclass(frozen=True)
@@ -46,24 +74,17 @@ class Model:
     threshold: float = 0.0
 
     def predictor(self):
-        """A function from a text to (language, calibrated score, accepted); it keeps a bounded cache of words."""
-        cache: dict[str, tuple[np.ndarray, int]] = {}
+        """A function from a text to (language, calibrated score, accepted)."""
+        table = self.table
 
         def predict(text: str | None) -> tuple[str, float, bool]:
-            counts = Counter(words_of(text))
-            if not counts or not self.languages:
+            total, count = np.zeros(len(self.languages)), 0
+            for found in grams(text, len(table)):
+                total += table[found].sum(0)
+                count += len(found)
+            if not count or not self.languages:
                 return UNKNOWN, 0.0, False
-            total, grams = np.zeros(len(self.languages)), 0
-            for word, n in counts.items():
-                hit = cache.get(word)
-                if hit is None:
-                    if len(cache) >= _ROOM:
-                        cache.clear()
-                    places = _buckets(word, len(self.table))
-                    cache[word] = hit = (self.table[places].sum(0), len(places))
-                total += n * hit[0]
-                grams += n * hit[1]
-            logits = (total / grams + self.intercept) / self.temperature
+            logits = (total / count + self.intercept) / self.temperature
             e = np.exp(logits - logits.max())
             best = int(e.argmax())
             score = float(e[best] / e.sum())
@@ -74,15 +95,12 @@ class Model:
 
 def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = 4, rate: float = 0.3, reject_share: float = 0.001, seed: int = 3) -> Model:
     """Fits on texts in memory; every tenth is left out for calibration. Texts without letters are not used."""
-    cache: dict[str, list[int]] = {}
     x, y = [], []
     for text, language in zip(texts, languages):
-        tally: Counter = Counter()
-        for word, n in Counter(words_of(text)).items():
-            for b in cache.setdefault(word, _buckets(word, buckets)):
-                tally[b] += n
-        if tally:
-            x.append((np.fromiter(tally, np.int64, len(tally)), np.fromiter(tally.values(), np.float32, len(tally)) / sum(tally.values())))
+        found = list(grams(text, buckets))
+        if found:
+            places, times = np.unique(np.concatenate(found), return_counts=True)
+            x.append((places.astype(np.int64), (times / times.sum()).astype(np.float32)))
             y.append(language)
     known = tuple(sorted(set(y)))
     if not known:
