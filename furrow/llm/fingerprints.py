@@ -63,7 +63,9 @@ def near_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     member = prints.groupBy("signature", "n_shingles").agg(F.min("id").alias("id")).select("id", F.explode(keys).alias("bucket"))
     leader = member.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = settle(member.join(leader, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    return verified(docs, pairs, id_column, text_column, width=width).where(F.col("jaccard") >= threshold)
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = settle(shingle_sets(docs, ids, id_column, text_column, width).distinct())
+    return verified(pairs, sets).where(F.col("jaccard") >= threshold)
 
 
 def membership(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -87,10 +89,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: s
     return rows.join(ids, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, width: int = WIDTH) -> DataFrame:
-    """``pairs(a, b)`` with the sizes of their full sets' intersection and union and their exact Jaccard index."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = settle(shingle_sets(docs, ids, id_column, text_column, width).distinct())
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the sizes of intersection and union of their ``sets(node, shingles)`` and their exact Jaccard
+    index. Sets are joined to pairs by id; a node in very many pairs is split by the adaptive skew join."""
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     return (

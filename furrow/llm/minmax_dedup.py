@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .fingerprints import verified
+from .fingerprints import shingle_sets, verified
 from .spark import components, groups, settle
 
 WIDTH, BANDS, ROWS, BLOCK = 5, 36, 7, 256
@@ -103,8 +103,11 @@ def near_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     shared = settle(member.join(leader, "bucket").select("bucket", "a", "n", "node"))
     stars = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
+    # all that can be in a pair of either step; so texts move once
+    full = settle(shingle_sets(docs, shared.select("node").distinct(), id_column, text_column, width).distinct())
+
     def linked(pairs: DataFrame) -> DataFrame:
-        return verified(docs, pairs, id_column, text_column, width=width).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+        return verified(pairs, full).where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
     links = settle(linked(settle(stars)))
     found = settle(components(links))
