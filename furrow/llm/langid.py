@@ -3,7 +3,8 @@
 A text's words (runs of letters, lower-cased) give character 2- to 4-grams with word ends marked, hashed into
 buckets in vectorised numpy; the mean of the buckets' vectors goes through a linear softmax. Both are trained by stochastic gradient
 descent in numpy. A temperature is fitted on a part left out of training; the rejection threshold is the
-calibrated score below which only ``reject_share`` of that part's right predictions lie, and at most 0.5.
+calibrated score below which only ``reject_share`` of that part's right predictions lie, and at most 0.5. A text most
+of whose subwords were never seen in training, such as one in another script, is rejected, too.
 """
 
 from __future__ import annotations
@@ -65,30 +66,34 @@ def grams(text: str | None, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """``table``: each bucket's contribution to each language's logit; ``threshold``: scores below are rejected."""
+    """``table``: each bucket's contribution to each language's logit; ``seen``: whether training had it; scores
+    below ``threshold`` and shares of seen subwords below ``least_seen`` are rejected."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     intercept: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    least_seen: float = 0.5
 
     def predictor(self):
         """A function from a text to (language, calibrated score, accepted)."""
         table = self.table
 
         def predict(text: str | None) -> tuple[str, float, bool]:
-            total, count = np.zeros(len(self.languages)), 0
+            total, count, known = np.zeros(len(self.languages)), 0, 0
             for found in grams(text, len(table)):
                 total += table[found].sum(0)
                 count += len(found)
+                known += int(self.seen[found].sum())
             if not count or not self.languages:
                 return UNKNOWN, 0.0, False
             logits = (total / count + self.intercept) / self.temperature
             e = np.exp(logits - logits.max())
             best = int(e.argmax())
             score = float(e[best] / e.sum())
-            return self.languages[best], score, score >= self.threshold
+            return self.languages[best], score, score >= self.threshold and known >= self.least_seen * count
 
         return predict
 
@@ -104,7 +109,7 @@ def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS
             y.append(language)
     known = tuple(sorted(set(y)))
     if not known:
-        return Model((), np.zeros((buckets, 0)), np.zeros(0))
+        return Model((), np.zeros((buckets, 0)), np.zeros(0), np.zeros(buckets, bool))
     target = np.array([known.index(v) for v in y])
     r = np.random.default_rng(seed)
     vectors = r.normal(0, 0.1, (buckets, dimensions)).astype(np.float32)
@@ -141,7 +146,7 @@ def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS
     p = probabilities(temperature)
     right = np.sort(p.max(1)[p.argmax(1) == target[check]])
     threshold = min(0.5, float(np.quantile(right, reject_share))) if len(right) else 0.0
-    return Model(known, table, bias.astype(np.float64), temperature, threshold)
+    return Model(known, table, bias.astype(np.float64), seen, temperature, threshold)
 
 
 def train(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, folds: int = 4, held: int = 2, **options) -> Model:
