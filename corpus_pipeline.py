@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, decoded again as a check on the round trip."""
     path, pattern = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    coded = bpe.encode(docs, path, pattern, decoded=True)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
