@@ -12,7 +12,6 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,22 +126,26 @@ class Encoder:
             i = after[i]
         return tuple(out)
 
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.cache.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.pieces(text))))
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
 class _Cache(dict):
-    """Ids of pre-tokens of up to 128 characters; emptied when full."""
+    """Packed ids of pre-tokens of up to 128 characters; emptied when full."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder.piece(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encoder.piece(piece.encode()), "<u4").tobytes()
         if len(piece) <= _LONG:
             if len(self) >= _ROOM:
                 self.clear()
@@ -161,20 +164,27 @@ def _packed(path: str) -> bytes:
     return b"\n".join(base64.b64encode(t) + b" %d" % i for t, i in read_ranks(path).items())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_tokens, ids)``; ``ids`` holds little-endian unsigned 32-bit integers. Null texts count as empty."""
+def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", *, decoded: bool = False) -> DataFrame:
+    """``(id, n_tokens, ids)``; ``ids`` holds little-endian unsigned 32-bit integers. Null texts count as empty.
+
+    ``decoded`` adds the bytes that the ids stand for, decoded from them in the same pass.
+    """
     packed = docs.sparkSession.sparkContext.broadcast(_packed(path))
+    names = ["id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(packed.value, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [np.array(encoder.encode(t.as_py() or ""), "<u4") for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], ["id", "n_tokens", "ids"])
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                ids = [encoder.packed(t.as_py() or "") for t in batch.column(1)]
+                columns = [batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([encoder.decode(np.frombuffer(i, "<u4").tolist()) for i in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids binary")
+    return rows.mapInArrow(run, "id long, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids") -> DataFrame:

@@ -59,7 +59,7 @@ def vocabulary() -> tuple[str, str]:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
