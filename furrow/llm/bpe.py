@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a hierarchical-bitmap rank queue.
 
 The pairs of a pre-token that can merge wait in a bucket for each merge rank, which holds their positions in a
-linked list of parts. A hierarchy of 64-bit words marks the buckets that are not empty; finding the first set bit
+linked list of parts. A hierarchy of 256-bit words marks the buckets that are not empty; finding the first set bit
 from the top gives the next rank. A merge changes at most two neighbours, whose old entries stay in their buckets
 and are skipped when they come up. So a pre-token of n bytes takes about n log n steps, however long it is.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROOM, _LONG = 400_000, 128
+_ROOM, _LONG = 600_000, 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,7 +36,7 @@ class RankQueue:
         self.levels: list[list[int]] = []
         size = max(1, ranks)
         while True:
-            size = -(-size // 64)
+            size = -(-size // 256)
             self.levels.append([0] * size)
             if size == 1:
                 break
@@ -49,7 +49,7 @@ class RankQueue:
             return
         self.buckets[rank] = [position]
         for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
+            word, bit = rank >> 8, 1 << (rank & 255)
             if level[word]:
                 level[word] |= bit
                 break
@@ -62,15 +62,15 @@ class RankQueue:
         rank = 0
         for level in reversed(self.levels):
             word = level[rank]
-            rank = (rank << 6) | ((word & -word).bit_length() - 1)
+            rank = (rank << 8) | ((word & -word).bit_length() - 1)
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
             at = rank
             for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
+                word = at >> 8
+                level[word] ^= 1 << (at & 255)
                 if level[word]:
                     break
                 at = word
