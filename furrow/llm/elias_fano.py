@@ -1,7 +1,7 @@
-"""Elias-Fano sequences: sorted 64-bit numbers in about two bits more than log2(universe / n) each.
+"""Elias-Fano sequences: sorted 64-bit numbers in little more than log2(universe / n) bits each.
 
-A number's low bits are packed one after another; its high bits are written in unary, as a bit at place
-``high + index``. Vectorised look-ups find a bucket of equal high bits by the place of its bounding zeros
+A number's low bits, whole bytes of them, lie in planes of 4, 2 and 1 bytes; its high bits are written in unary, as
+a bit at place ``high + index``. Vectorised look-ups find a bucket of equal high bits by the place of its bounding zeros
 (successor search); when many numbers are looked up at once, decoding the sequence is the cheaper way.
 """
 
@@ -13,47 +13,46 @@ _ONE = np.uint64(1)
 
 
 class EliasFano:
-    """Over arrays that may be memory-mapped: ``low`` bytes, ``high`` words, ``ones`` before each word."""
+    """Over arrays that may be memory-mapped: ``low4``, ``low2`` and ``low1`` planes, ``high`` words, ``ones`` before each word."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+    def __init__(self, n: int, bits: int, low4: np.ndarray, low2: np.ndarray, low1: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.high, self.ones = n, bits, high, ones
+        self.planes = [(p, at) for p, at in ((low4, 0), (low2, 32 * (bits >= 32)), (low1, bits - 8)) if len(p)]
 
     @staticmethod
     def arrays(values: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
         """Header and arrays of a sorted array of uint64."""
         n = len(values)
         most = int(values[-1]) if n else 0
-        bits = min(56, max(0, (most // max(n, 1)).bit_length() - 1))
-        low = np.zeros(-(-n * bits // 8) + 8, np.uint8)
-        for at in range(0, n, 1 << 15):  # a multiple of 8 numbers fills whole bytes
-            part = values[at : at + (1 << 15)]
-            if bits:
-                flags = (part[:, None] >> np.arange(bits, dtype=np.uint64)) & _ONE
-                packed = np.packbits(flags.astype(np.uint8).ravel(), bitorder="little")
-                low[at * bits // 8 : at * bits // 8 + len(packed)] = packed
+        exact = max(0, (most // max(n, 1)).bit_length() - 1)
+        bits = min(56, -(-exact // 8) * 8)
+        none = np.empty(0, np.uint8)
+        size = bits // 8
+        low4 = (values & np.uint64(0xFFFFFFFF)).astype("<u4") if size >= 4 else none
+        low2 = ((values >> np.uint64(32 * (size >= 4))) & np.uint64(0xFFFF)).astype("<u2") if size % 4 >= 2 else none
+        low1 = ((values >> np.uint64(bits - 8)) & np.uint64(0xFF)).astype("u1") if size % 2 else none
         top = (values >> np.uint64(bits)).astype(np.int64)
         length = n + (most >> bits) + 1
         flags = np.zeros(-(-length // 64) * 64, np.uint8)
         flags[top + np.arange(n)] = 1
         high = np.packbits(flags, bitorder="little").view("<u8")
         counts = np.bitwise_count(high).astype(np.uint64)
-        return {"n": n, "bits": bits}, {"low": low, "high": high, "ones": np.concatenate([[np.uint64(0)], counts.cumsum(dtype=np.uint64)])}
+        return {"n": n, "bits": bits}, {"low4": low4, "low2": low2, "low1": low1, "high": high, "ones": np.concatenate([[np.uint64(0)], counts.cumsum(dtype=np.uint64)])}
 
-    def lows(self, i: np.ndarray) -> np.ndarray:
-        if not self.bits:
-            return np.zeros(len(i), np.uint64)
-        at = i * self.bits
-        window = self.low[(at >> 3)[:, None] + np.arange(8)].view("<u8")[:, 0]
-        return (window >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.bits) - 1)
+    def lows(self, i) -> np.ndarray:
+        """The low bits at places ``i``, an array or a slice."""
+        out = None
+        for plane, at in self.planes:
+            part = plane[i].astype(np.uint64)
+            if at:
+                part <<= np.uint64(at)
+            out = part if out is None else np.bitwise_or(out, part, out=out)
+        return np.zeros(len(range(*i.indices(self.n))) if isinstance(i, slice) else len(i), np.uint64) if out is None else out
 
     def decode(self) -> np.ndarray:
         flags = np.unpackbits(np.asarray(self.high).view(np.uint8), bitorder="little")
         top = np.flatnonzero(flags) - np.arange(self.n)
-        out = top.astype(np.uint64) << np.uint64(self.bits)
-        for at in range(0, self.n, 1 << 16):
-            i = np.arange(at, min(self.n, at + (1 << 16)))
-            out[i] |= self.lows(i)
-        return out
+        return (top.astype(np.uint64) << np.uint64(self.bits)) | self.lows(slice(0, self.n))
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """The place of the k-th one or zero, from 0."""
@@ -70,7 +69,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``."""
-        if len(i) * 64 >= self.n:
+        if len(i) * 24 >= self.n:
             return self.decode()[i]
         top = self._select(i, True) - i
         return (top.astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
@@ -80,7 +79,7 @@ class EliasFano:
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
-        if len(values) * 64 >= self.n:
+        if len(values) * 24 >= self.n:
             all_ = self.decode()
             at = np.minimum(np.searchsorted(all_, values), self.n - 1)
             return np.where(all_[at] == values, at, -1)

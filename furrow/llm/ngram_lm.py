@@ -34,7 +34,7 @@ from .files import Folder
 from .spark import settle, shared_dir, whole_groups
 
 END = np.uint64(1)
-CHUNK, WORDS_A_FILE, PAIRS_A_FILE, MU = 1_500_000, 1 << 18, 2_000_000, 64.0
+CHUNK, WORDS_A_FILE, PAIRS_A_FILE, MU = 2_000_000, 1 << 18, 2_000_000, 64.0
 
 
 def _store(folder: Folder, parts: dict[str, tuple[dict, dict[str, np.ndarray]]], extra: dict[str, np.ndarray]) -> str:
@@ -78,7 +78,7 @@ class _Level:
 
     def sequence(self, name: str) -> EliasFano:
         h = self.heads[name]
-        return EliasFano(h["n"], h["bits"], *(self.arrays[f"{name}.{k}"] for k in ("low", "high", "ones")))
+        return EliasFano(h["n"], h["bits"], *(self.arrays[f"{name}.{k}"] for k in ("low4", "low2", "low1", "high", "ones")))
 
 
 @dataclass
