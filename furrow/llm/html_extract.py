@@ -1,9 +1,11 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for their length and commas to their ancestors, the less the farther; a container's points
-are discounted by the share of its text that lies in links. The container with most points and those siblings
-that hold enough points or are paragraphs of prose are kept. Menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are taken out before.
+are discounted by the share of its text that lies in links. The article (or main element) around the container
+with most points is kept whole, loose text included. Without one, the smallest element that holds all containers
+with enough points is kept, less its link lists; around a single container, those siblings that hold enough points
+or are prose. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+taken out before.
 """
 
 from __future__ import annotations
@@ -50,17 +52,19 @@ UNWANTED = frozenset(
     "skip tags copyright legal disclaimer".split()
 )
 WANTED = frozenset("article body content entry main page post story text blog hentry".split())
+#: Words of a class or id that name an article as the tag does.
+NAMED = frozenset("article entry hentry post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "marks", "score", "dropped")
+    __slots__ = ("tag", "parent", "items", "marks", "score", "own", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, marks: frozenset[str] = frozenset(), dropped: bool = False):
         self.tag, self.parent, self.marks, self.dropped = tag, parent, marks, dropped
         self.items: list = []
-        self.score = 0.0
+        self.score = self.own = 0.0  # own: without what comes from below
 
 
 def _marks(source: str) -> tuple[frozenset[str], bool]:
@@ -177,6 +181,21 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def _path(n: Node) -> list[Node]:
+    """The node and what it lies in, from the root down."""
+    path = []
+    while n is not None:
+        path.append(n)
+        n = n.parent
+    return path[::-1]
+
+
+def _article(path: list[Node]) -> Node | None:
+    """The outermost article on a path; without one, the outermost element that is named so."""
+    named = lambda x: x.tag not in ("html", "body") and not x.marks.isdisjoint(NAMED)
+    return next((x for x in path if x.tag == "article"), None) or next(filter(named, path), None)
+
+
 def extract(source: str | None) -> str:
     """The main text of a page; empty for a null or empty page and for one without text."""
     if not source:
@@ -203,6 +222,8 @@ def extract(source: str | None) -> str:
             text = text_of(n)
             points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - density(n))
             at, level = (n if direct > 40 else n.parent), 0
+            if at is not None:
+                at.own += points
             while at is not None and level < 6:
                 at.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
                 at, level = at.parent, level + 1
@@ -215,21 +236,53 @@ def extract(source: str | None) -> str:
                 best, most = n, value
     if best is None:  # no paragraph: what is left of the page, unless it is mostly links
         return text_of(root) if density(root) < 0.5 else ""
-    # menus inside what is kept: lists and boxes that are links only
-    skip = {id(n) for n in order if n.tag in ("ul", "ol", "div", "section", "table") and n is not best and density(n) > 0.9 and sum(1 for x in _walk(n) if x.tag == "a") > 1}
-    holder = best.parent
-    if holder is None or best.tag in ("body", "html", "article", "main", "#root"):
+    enough = max(10.0, 0.2 * best.score)
+    good = [_path(n) for n in order if n is best or n.own * (1 - density(n)) >= enough]
+    here = _path(best)
+    main = next((x for x in here if x.tag == "main"), None)
+    article = _article(here)
+    if main is not None:  # what lies beside the main element isn't part of the article
+        good = [p for p in good if main in p]
+    if best.tag in ("body", "html", "#root"):
         kept = [best]
-        if best.tag == "article" and holder is not None:
-            kept = [x for x in holder.items if isinstance(x, Node) and (x is best or x.tag == "article" and x.score >= max(10.0, 0.2 * best.score))]
+    elif article is not None and (main is None or all(map(_article, good))):
+        tops = {id(x) for x in map(_article, good) if x is not None}
+        kept = [n for n in order if id(n) in tops and not any(id(x) in tops for x in _path(n)[:-1])]
+    elif main is not None:
+        kept = [main]
     else:
-        kept = []
+        depth = next((k for k, level in enumerate(zip(*good)) if any(x is not level[0] for x in level)), min(map(len, good)))
+        top = good[0][depth - 1]
+        scored = top is best and best.parent is not None or top.tag in ("body", "html", "#root")
+        holder = best.parent if top is best and best.parent is not None else top
+        ways = {id(x) for p in good for x in p}
+        view = Node(holder.tag, None)  # the holder with the items that are kept
+        run: list = []  # text and inline elements between blocks, kept or left together
+
+        def close() -> None:
+            total = sum(len("".join(x.split())) if isinstance(x, str) else length[id(x)] for x in run)
+            if sum(linked[id(x)] for x in run if isinstance(x, Node)) < 0.25 * total:
+                view.items.extend(run)
+            run.clear()
+
         for x in holder.items:
-            if not isinstance(x, Node) or x.dropped:
+            if isinstance(x, str) or not x.dropped and x.tag not in BLOCKS and not x.score and id(x) not in ways:
+                run.append(x)
+                continue
+            close()
+            if x.dropped:
                 continue
             plain = x.tag in PARAGRAPHS or x.tag in ("h1", "h2", "h3", "h4")
-            if x is best or x.score * (1 - density(x)) >= max(10.0, 0.2 * best.score) or plain and length[id(x)] and density(x) < 0.25:
-                kept.append(x)
+            prose = plain and density(x) < 0.25 or not scored and density(x) < 0.5
+            if id(x) in ways or x.score * (1 - density(x)) >= enough or length[id(x)] and prose:
+                view.items.append(x)
+            else:
+                view.items.append(" ")
+        close()
+        kept = [view]
+    # menus inside what is kept: lists and boxes that are links only
+    held = {id(x) for x in (best, *kept)}
+    skip = {id(n) for n in order if n.tag in ("ul", "ol", "div", "section", "table") and id(n) not in held and density(n) > 0.9 and sum(1 for x in _walk(n) if x.tag == "a") > 1}
     return " ".join(filter(None, (text_of(x, skip) for x in kept)))
 
 

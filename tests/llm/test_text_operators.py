@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -305,6 +306,21 @@ def test_html():
     assert html_extract.extract("<p>a < b &amp;&#228;&bogus;</p>") == "a < b &ä&bogus;"
 
 
+def test_html_keeps_whole_articles():
+    prose = lambda a, b: "".join(f"<p>Sentence {k} goes on, with words, and commas, for a good while, so that it counts as prose, more or less.</p>" for k in range(a, b))
+    told = lambda source: [int(k) for k in re.findall(r"Sentence (\d+)", html_extract.extract(source))]
+    parts = f"<div><section>{prose(0, 8)}</section></div><div><section>{prose(8, 15)}</section></div>"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<body><div class='story'>{}</div></body>", "<body><div><div>{}</div></div></body>", "<article>{}</article><article><section><p>x</article>"):
+        assert told(around.format(parts)) == list(range(15)), around
+    assert told(f"<article><section>{prose(0, 8)}</section><section>{prose(8, 9)}</section></article>") == list(range(9))
+    assert told(f"<main><div><article>{prose(0, 6)}</article></div><div><article>{prose(6, 12)}</article></div></main>") == list(range(12))
+    loose = f"<article>Loose <b>lead</b>.<section>{prose(0, 8)}</section>tail<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><footer>end</footer></article>"
+    text = html_extract.extract(loose)
+    assert text.startswith("Loose lead. Sentence 0") and text.endswith("or less. tail")
+    aside = f"<body><div><a href=a>Home</a> | <a href=b>News</a></div><div>{prose(0, 8)}</div><div>Powered by x</div></body>"
+    assert told(aside) == list(range(8)) and "Powered" not in html_extract.extract(aside) and "Home" not in html_extract.extract(aside)
+
+
 def test_html_rows(spark):
     d = spark.createDataFrame([(1, "u", "<p>a  b</p>", 5), (None, None, None, 5), (1, "u", "<p>a  b</p>", 5)], "page_id long, url string, html string, id int")
     got = html_extract.main_texts(d, carry=["url"]).collect()
