@@ -28,7 +28,7 @@ def likeness(left: np.ndarray, right: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
-    """``(id, n_shingles, signature array<long>)`` for each row.
+    """``(id, n_shingles, set_key binary, signature array<long>)`` for each row; the key names the set of shingles.
 
     Null texts count as empty; an empty set has a signature of all ones (-1 as a signed value) and no shingle.
     Repeated rows give repeated rows, null ids stay null. Other columns are not read, so their names don't matter.
@@ -37,42 +37,57 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = words.Permutations(hashes)
         for batch in batches:
-            sizes, rows = [], []
+            sizes, set_keys, rows = [], [], []
             for text in batch.column(1):
                 s = words.distinct(words.shingles(text.as_py(), width))
                 sizes.append(len(s))
+                set_keys.append(words.set_key(s))
                 rows.append(perms.lowest(s).view(np.int64))
             flat = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
             signatures = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * hashes), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), signatures], ["id", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.binary()), signatures], ["id", "n_shingles", "set_key", "signature"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, signature array<long>")
+    return rows.mapInArrow(run, "id long, n_shingles long, set_key binary, signature array<long>")
 
 
-def near_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, threshold: float = 0.8, bands: int = 21, width: int = WIDTH, hashes: int = 126) -> DataFrame:
-    """``(a, b, jaccard)`` with a < b: distinct texts' representatives whose bands meet, verified on full sets.
+def near_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, threshold: float = 0.8, bands: int = 21, width: int = WIDTH, hashes: int = 126, block: int = 512) -> DataFrame:
+    """``(a, b, jaccard)`` with a < b: all pairs of distinct texts' representatives whose bands meet, verified on full sets.
 
     The representative of equal shingle sets is the smallest id (:func:`membership` gives every document's), so
-    copies are not expanded. A bucket pairs each member with its smallest id only; use the near-dedup operator
-    for whole components. Rows without words or with a null id pair with nothing.
+    copies are not expanded. All members of a bucket are paired, in blocks, so that a large bucket is spread over
+    many tasks; only pairs whose sizes alone rule the threshold out are not verified. Rows without words or with a
+    null id pair with nothing; an id that stands for several sets has its best pair told.
     """
     prints = settle(fingerprints(docs, id_column, text_column, width=width, hashes=hashes).where("n_shingles > 0 AND id IS NOT NULL"))
     step = hashes // bands
     keys = F.array(*(F.xxhash64(F.lit(i), F.slice("signature", i * step + 1, step)) for i in range(bands)))
-    member = prints.groupBy("signature", "n_shingles").agg(F.min("id").alias("id")).select("id", F.explode(keys).alias("bucket"))
-    leader = member.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = settle(member.join(leader, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = settle(shingle_sets(docs, ids, id_column, text_column, width).distinct())
-    return verified(pairs, sets).where(F.col("jaccard") >= threshold)
+    named = settle(prints.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    member = named.select("set_key", "n", F.explode(keys).alias("bucket"))
+    blocks = member.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket", F.ceil(F.col("many") / block).cast("int").alias("blocks"))
+    shared = settle(member.join(blocks, "bucket").withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
+    left = shared.select("bucket", F.col("mine").alias("low"), F.explode(F.sequence("mine", F.col("blocks") - 1)).alias("high"), F.col("set_key").alias("x"), F.col("n").alias("n_x"))
+    right = shared.select("bucket", F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("low"), F.col("mine").alias("high"), F.col("set_key").alias("y"), F.col("n").alias("n_y"))
+    met = left.join(right, ["bucket", "low", "high"]).where("low < high OR x < y").where(F.least("n_x", "n_y") >= (threshold - 1e-9) * F.greatest("n_x", "n_y"))
+    pairs = settle(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    used = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+    ids = named.join(used, "set_key", "left_semi").select(F.col("id").alias("node")).distinct()
+    sets = shingle_sets(docs, ids, id_column, text_column, width)
+    key = F.pandas_udf(lambda sets: sets.map(lambda s: words.set_key(s)), "binary")
+    sets = settle(sets.withColumn("node", key("shingles")).dropDuplicates(["node"]).join(used.withColumnRenamed("set_key", "node"), "node", "left_semi"))
+    near = verified(pairs, sets).where(F.col("jaccard") >= threshold)
+    low, high = (named.select(F.col("set_key").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    told = near.join(low, "a").join(high, "b").where("id_a <> id_b")
+    best = F.max(F.struct("jaccard", "both", "either")).alias("best")
+    told = told.groupBy(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).agg(best)
+    return told.select("a", "b", "best.both", "best.either", "best.jaccard")
 
 
 def membership(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, representative)``: the smallest id among rows with the same shingle set size and signature."""
-    prints = settle(fingerprints(docs, id_column, text_column))
-    low = prints.groupBy("signature", "n_shingles").agg(F.min("id").alias("representative"))
-    return prints.join(low, ["signature", "n_shingles"]).select("id", "representative")
+    """``(id, representative)``: the smallest id among rows with the same shingle set."""
+    prints = settle(fingerprints(docs, id_column, text_column).select("id", "set_key"))
+    low = prints.groupBy("set_key").agg(F.min("id").alias("representative"))
+    return prints.join(low, "set_key").select("id", "representative")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str, width: int = WIDTH) -> DataFrame:

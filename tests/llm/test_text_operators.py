@@ -133,6 +133,46 @@ def test_near_pairs(spark):
     assert {r.id: r.representative for r in fingerprints.membership(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def brute_pairs(rows, least):
+    by = {}
+    for i, t in rows:
+        if shingle_set(t):
+            by[frozenset(shingle_set(t))] = min(i, by.get(frozenset(shingle_set(t)), i))
+    found = [(a, b, jaccard(s, t)) for s, a in by.items() for t, b in by.items() if a < b]
+    return {(a, b): j for a, b, j in found if j >= least}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_pairs_against_brute_force(spark, block):
+    boilerplate = " ".join(f"b{k}" for k in range(40))
+    unrelated = [(0, boilerplate + " " + " ".join(f"u{k}" for k in range(40)))]
+    group = [(10 + k, boilerplate + " " + " ".join(f"g{j}" for j in range(60)) + " end" * (k + 5)) for k in range(4)]
+    tails = [(20 + k, boilerplate + " " + " ".join(f"t{j if j != 30 * k else 99}" for j in range(60))) for k in range(3)]
+    rows = unrelated + group + tails + [(i + 100, t) for i, t in near_corpus()]
+    # with a value a band unrelated texts share buckets with the boilerplate, and no pair at 0.8 is missed
+    got = {(r.a, r.b): r.jaccard for r in fingerprints.near_pairs(frame(spark, rows), bands=126, block=block).collect()}
+    assert got == pytest.approx(brute_pairs(rows, 0.8))
+
+
+def test_near_pairs_in_a_bucket_with_an_unrelated_leader(spark):
+    shared = " ".join(f"b{k}" for k in range(200))
+    rows = [(1, shared + " " + " ".join(f"u{k}" for k in range(60)))] + [(i, shared + " " + " ".join(f"g{k}" for k in range(58)) + f" x{i}") for i in (2, 3)]
+    # one band of one value: the three share it or the test says nothing
+    d = frame(spark, rows)
+    first = {r.id: r.signature[0] for r in fingerprints.fingerprints(d, hashes=1).collect()}
+    assert len(set(first.values())) == 1
+    assert {(r.a, r.b) for r in fingerprints.near_pairs(d, bands=1, hashes=1, threshold=0.9).collect()} == {(2, 3)} == set(brute_pairs(rows, 0.9))
+
+
+def test_long_texts_that_differ_by_a_word(spark):
+    text = [f"w{k}" for k in range(20_000)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:9000], "other", *text[9001:]])), (3, " ".join(text))]
+    d = frame(spark, rows)
+    assert len({tuple(r.signature) for r in fingerprints.fingerprints(d, hashes=126).collect()}) == 1  # a signature can't tell them
+    assert {r.id: r.representative for r in fingerprints.membership(d).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {(r.a, r.b): r.jaccard for r in fingerprints.near_pairs(d).collect()} == pytest.approx(brute_pairs(rows, 0.8))
+
+
 def test_toxicity_counterfactuals():
     r = random.Random(2)
     plain = [f"word{k}" for k in range(60)]
