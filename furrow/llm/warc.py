@@ -1,8 +1,8 @@
 """WARC archives of pages with a two-level capture index.
 
 Records are gzip members in files of the shared folder. The index is sorted by reversed-host URL keys and cut in
-compressed blocks; a sparse directory keeps each block's first key and place. A look-up searches the directory by
-halves, reads one block's range and then the record's range.
+compressed blocks; a sparse directory keeps each block's first and last key and its place. A look-up searches the
+directory by halves, reads the ranges of the blocks that may hold the key and then the records' ranges.
 """
 
 from __future__ import annotations
@@ -95,7 +95,9 @@ def _sha1(data: bytes) -> bytes:
 
 @dataclass
 class Archive:
-    """Where archives and index are, and the directory ``(first_key, file, offset, length, lines)``, one row a block."""
+    """Where archives and index are, and the directory ``(first_key, last_key, file, offset, length, lines)``, one row a block.
+
+    Blocks are cut from one sorted order, so in order of ``(first_key, last_key)`` neither key ever falls."""
 
     folder: Folder
     directory: DataFrame
@@ -152,7 +154,7 @@ def write(pages: DataFrame, *, least_revisit: int = 0, lines: int = LINES) -> Ar
             nonlocal at
             raw = zlib.compress("\n".join("{} {} {} {} {}".format(*e) for e in held).encode())
             stream.write(raw)
-            row = (held[0][0], name, at, len(raw), len(held))
+            row = (held[0][0], held[-1][0], name, at, len(raw), len(held))
             at += len(raw)
             held.clear()
             return _batch([row], _BLOCK)
@@ -170,12 +172,12 @@ def write(pages: DataFrame, *, least_revisit: int = 0, lines: int = LINES) -> Ar
             stream.close()
 
     ordered = entries.repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
-    directory = settle(ordered.mapInArrow(index, "first_key string, file string, offset long, length long, lines long"))
+    directory = settle(ordered.mapInArrow(index, "first_key string, last_key string, file string, offset long, length long, lines long"))
     return Archive(folder, directory)
 
 
 _ENTRY = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-_BLOCK = pa.schema([("first_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
+_BLOCK = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
@@ -216,15 +218,16 @@ def read(archive: Archive, payloads: bool = True) -> DataFrame:
     return dealt.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def look_up(spark: SparkSession, archive: Archive, url: str) -> list[dict]:
-    """The records of a URL, by the directory, one or more blocks and the records' ranges."""
-    directory = sorted(map(tuple, archive.directory.collect()))
+def look_up(spark: SparkSession, archive: Archive, url: str | None) -> list[dict]:
+    """All records of a URL, or of the rows without one, by the directory, one or more blocks and the records' ranges."""
+    blocks = archive.directory.select("first_key", "last_key", "file", "offset", "length").collect()
+    directory = sorted(map(tuple, blocks))
     key = url_key(url)
-    at = max(0, bisect.bisect_left(directory, (key,)) - 1)
+    at = bisect.bisect_left(directory, key, key=lambda block: block[1])
     out = []
-    for _, file, offset, length, _ in directory[at:]:
+    for first, _, file, offset, length in directory[at:]:
+        if first > key:
+            break
         lines = _lines(archive.folder, file, offset, length)
         out += [parse(zlib.decompress(archive.folder.child("archives").read(f, int(o), int(n)), 31)) for k, _, f, o, n in lines if k == key]
-        if lines[-1][0] > key:
-            break
     return out

@@ -91,6 +91,20 @@ def test_archives(spark):
     assert warc.look_up(spark, archive, "http://none.example.net/") == []
 
 
+def test_look_up_of_a_hot_url(spark):
+    """A URL whose captures span several index files, and its neighbours in the index."""
+    hot = [(k, None if k % 3 else "http://h.example.org/m", f"p{k}") for k in range(400)]
+    near = [(1000 + k, f"http://h.example.org/{c}", f"q{k}") for k, c in enumerate("aalmnnz")]
+    # several archives, since index files have random names and a wrong order shows only at times
+    for lines in (3, 7, 11, 16):
+        archive = warc.write(pages(spark, hot + near), lines=lines)
+        blocks = archive.directory.collect()
+        assert len({b.file for b in blocks if b.first_key == "-"}) > 1
+        for url in (None, "http://h.example.org/m", *(u for _, u, _ in near), "http://h.example.org/none", "http://h.example.org/zz"):
+            want = sorted(i for i, u, _ in hot + near if u == url)
+            assert sorted(x["page_id"] for x in warc.look_up(spark, archive, url)) == want
+
+
 def test_archive_edges(spark):
     assert warc.read(warc.write(pages(spark, []))).count() == 0
     d = pages(spark, [(None, "u", "a"), (None, "u", "a"), (None, "u", "b"), (4, "u", "b"), (4, "u", "b")])
