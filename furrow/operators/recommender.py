@@ -1,21 +1,30 @@
 """Configuration choice: extremely randomised trees that predict a configuration's regret at each preference.
 
-Own trees in numpy, one model for each configuration; they follow the published method (random cut points, best of
-the drawn features by variance), not any library's random numbers.
+Own trees in numpy, one model for each configuration; they follow the published method (a random cut point for each
+feature, the best by variance, at least two rows a leaf), not any library's random numbers.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+#: The reference's protocol.
+TREES, LEAF, SEED = 192, 2, 20260822
+#: Rows of all trees that are grown together, at most.
+ROWS = 1 << 17
 
 
 @dataclass
-class Tree:
+class Forest:
+    """The nodes of several trees; the first ``roots`` nodes are their roots."""
+
+    roots: int
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
@@ -23,70 +32,90 @@ class Tree:
     value: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), int)
-        while True:
-            inner = self.feature[at] >= 0
-            if not inner.any():
-                return self.value[at]
-            k = np.flatnonzero(inner)
-            goes = x[k, self.feature[at[k]]] <= self.cut[at[k]]
-            at[k] = np.where(goes, self.left[at[k]], self.right[at[k]])
-
-
-def grow(x: np.ndarray, y: np.ndarray, r: np.random.Generator, least: int = 2, tries: int | None = None) -> Tree:
-    """A tree over all rows of several outputs; nodes of fewer than ``least`` rows, or of equal rows, are leaves."""
-    nodes: list[list] = []
-    stack = [(np.arange(len(x)), -1, False)]
-    tries = tries or max(1, round(math.sqrt(x.shape[1])))
-    while stack:
-        rows, parent, is_right = stack.pop()
-        k = len(nodes)
-        nodes.append([-1, 0.0, -1, -1, y[rows].mean(0)])
-        if parent >= 0:
-            nodes[parent][3 if is_right else 2] = k
-        spread = np.flatnonzero(np.ptp(x[rows], axis=0) > 0)
-        if len(rows) < least or not len(spread) or not np.ptp(y[rows], axis=0).any():
-            continue
-        best = None
-        for f in r.permutation(spread)[:tries]:
+        """The sum of the trees' predictions."""
+        out = np.zeros((len(x), self.value.shape[1]))
+        for root in range(self.roots):
+            at = np.full(len(x), root)
+            while True:
+                k = np.flatnonzero(self.feature[at] >= 0)
+                if not len(k):
+                    break
+                inner = at[k]
+                goes = x[k, self.feature[inner]] <= self.cut[inner]
+                at[k] = np.where(goes, self.left[inner], self.right[inner])
+            out += self.value[at]
+        return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, r: np.random.Generator, trees: int, leaf: int = LEAF) -> Forest:
+    """Trees over all rows of several outputs, a level of all trees at a time; each node tries a cut of each feature.
+    No leaf has fewer than ``leaf`` rows; nodes of equal rows or equal outputs are leaves."""
+    n, mean = len(x), y.mean(0)
+    y = y - mean
+    rows, ids = np.tile(np.arange(n), trees), np.arange(trees)
+    start = ids * n
+    levels, count = [], trees
+    while len(ids):
+        size = np.diff(start, append=len(rows))
+        of = y[rows]
+        total = np.add.reduceat(of, start)
+        varied = (np.maximum.reduceat(of, start) > np.minimum.reduceat(of, start)).any(1)
+        best = np.full(len(ids), -np.inf)
+        feature, cut, right = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(rows), bool)
+        for f in range(x.shape[1]):
             v = x[rows, f]
-            cut = r.uniform(v.min(), v.max())
-            goes = v <= cut
-            if goes.all() or not goes.any():
+            low, high = np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
+            c = r.uniform(low, high)
+            beyond = v > np.repeat(c, size)
+            many = np.add.reduceat(beyond, start, dtype=np.int64)
+            allowed = varied & (many >= leaf) & (size - many >= leaf)
+            if not allowed.any():
                 continue
-            loss = y[rows[goes]].var(0).sum() * goes.sum() + y[rows[~goes]].var(0).sum() * (~goes).sum()
-            if best is None or loss < best[0]:
-                best = (loss, f, cut, goes)
-        if best:
-            nodes[k][:2] = [int(best[1]), float(best[2])]
-            stack += [(rows[~best[3]], k, True), (rows[best[3]], k, False)]
-    f, c, a, b, v = zip(*nodes)
-    return Tree(np.array(f), np.array(c), np.array(a), np.array(b), np.stack(v))
+            part = np.add.reduceat(np.where(beyond[:, None], of, 0.0), start)
+            gain = (part**2).sum(1) / np.maximum(many, 1) + ((total - part) ** 2).sum(1) / np.maximum(size - many, 1)
+            better = allowed & (gain > best)
+            best[better], feature[better], cut[better] = gain[better], f, c[better]
+            right = np.where(np.repeat(better, size), beyond, right)
+        split = feature >= 0
+        child = np.full(len(ids), -1)
+        child[split] = count + 2 * np.arange(split.sum())
+        levels.append((feature, cut, child, total / size[:, None] + mean))
+        stay = np.repeat(split, size)
+        key = (np.repeat(child, size) + right)[stay]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[stay][order], key[order]
+        ids = np.arange(count, count + 2 * split.sum())
+        start = np.searchsorted(key, ids)
+        count += len(ids)
+    feature, cut, child, value = (np.concatenate(c) for c in zip(*levels))
+    return Forest(trees, feature, cut, child, child + 1, value)
 
 
-def fit_predict(train_x, train_y, test_x, trees: int = 50, seed: int = 20260822) -> np.ndarray:
+def fit_predict(train_x, train_y, test_x, trees: int = TREES, seed: int = SEED, leaf: int = LEAF) -> np.ndarray:
     """Mean of the trees' predictions, none below 0."""
     r = np.random.default_rng(seed)
-    return np.maximum(0.0, np.mean([grow(train_x, train_y, r).predict(test_x) for _ in range(trees)], axis=0))
+    at_once = max(1, ROWS // len(train_x))
+    total = sum(grow(train_x, train_y, r, min(at_once, trees - k), leaf).predict(test_x) for k in range(0, trees, at_once))
+    return np.maximum(0.0, total / trees)
 
 
-def cross_predict(table: DataFrame, features: list[str], outputs: list[str], trees: int = 50, seed: int = 20260822) -> DataFrame:
+def cross_predict(table: DataFrame, features: list[str], outputs: list[str], trees: int = TREES, seed: int = SEED) -> DataFrame:
     """``(config_id, instance_id, fold, predicted...)``: each configuration's model of the other folds' applicable rows
-    predicts a fold's rows. A configuration's rows, one an instance, are one group; configurations are few and
-    their rows are bounded by the instances that are labelled."""
-    kept = table.select("config_id", "instance_id", "fold", *features, *outputs)
+    predicts a fold's rows; ``table`` has the flag ``applicable``, and a choice is made among the applicable ones. Rows
+    without all outputs are predicted, not learnt from. A configuration's rows, one an
+    instance, are one group for each fold; configurations are few and their rows are bounded by the labelled instances."""
+    kept = table.select("config_id", "instance_id", "fold", "applicable", *features, *outputs)
     schema = "config_id string, instance_id string, fold long, " + ", ".join(f"{o} double" for o in outputs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for fold in sorted(pdf["fold"].unique()):
-            test, train = pdf[pdf["fold"] == fold], pdf[(pdf["fold"] != fold) & pdf[outputs].notna().all(axis=1)]
-            if len(train) < 2:
-                continue
-            train = train.sort_values("instance_id")
-            p = fit_predict(train[features].to_numpy(float), train[outputs].to_numpy(float), test[features].to_numpy(float), trees, seed)
-            part = test[["config_id", "instance_id", "fold"]].reset_index(drop=True)
-            out.append(pd.concat([part, pd.DataFrame(p, columns=outputs)], axis=1))
-        return pd.concat(out) if out else pd.DataFrame(columns=["config_id", "instance_id", "fold", *outputs])
+        test, train = pdf[pdf["fold"] == pdf["held"]], pdf[(pdf["fold"] != pdf["held"]) & pdf["applicable"] & pdf[outputs].notna().all(axis=1)]
+        if len(train) < 2 or not len(test):
+            return pd.DataFrame(columns=["config_id", "instance_id", "fold", *outputs])
+        train = train.sort_values("instance_id")
+        p = fit_predict(train[features].to_numpy(float), train[outputs].to_numpy(float), test[features].to_numpy(float), trees, seed)
+        return pd.concat([test[["config_id", "instance_id", "fold"]].reset_index(drop=True), pd.DataFrame(p, columns=outputs)], axis=1)
 
-    return kept.groupBy("config_id").applyInPandas(run, schema)
+    # a task for each model, told how many, since the rows are few and the work on them is not
+    held = kept.crossJoin(F.broadcast(kept.select(F.col("fold").alias("held")).distinct()))
+    held = held.repartition(4 * table.sparkSession.sparkContext.defaultParallelism, "config_id", "held")
+    return held.groupBy("config_id", "held").applyInPandas(run, schema)

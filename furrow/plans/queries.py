@@ -454,15 +454,20 @@ def reeds_shepp_lengths(spark, d):
     return p.select("p_partkey", F.round(length(F.col("p_retailprice") / 100.0, F.col("p_size") - 25.0, F.col("p_size") / 8.0, F.col("p_partkey") % 63 / 10.0), 6).alias("length"))
 
 
-@query()
-def coverage_runs(spark, d):
-    """The thirteen configurations on a field with a notch for each supplier, with either vehicle."""
+def _notched(spark: SparkSession, d: str) -> DataFrame:
+    """``(field_id, wkt)``: a square with a notch for each supplier."""
     size = 60.0 + F.col("s_acctbal") % 40.0
     corner = F.round(F.abs(size), 3).cast("string")
     half = F.round(F.abs(size) / 2, 3).cast("string")
     wkt = F.concat(F.lit("POLYGON ((0 0, "), corner, F.lit(" 0, "), corner, F.lit(" "), half, F.lit(", "), half, F.lit(" "), half, F.lit(", "), half, F.lit(" "), corner, F.lit(", 0 "), corner, F.lit(", 0 0))"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("field_id"), wkt.alias("wkt"))
+
+
+@query()
+def coverage_runs(spark, d):
+    """The thirteen configurations on a field with a notch for each supplier, with either vehicle."""
     vehicle = F.explode(F.array(F.lit(0), F.lit(1)))
-    fields = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("field_id"), wkt.alias("wkt"), vehicle.alias("vehicle_index"))
+    fields = _notched(spark, d).select(F.col("field_id").cast("string").alias("field_id"), "wkt", vehicle.alias("vehicle_index"))
     instances = fields.select(F.concat_ws(":", "field_id", F.col("vehicle_index").cast("string")).alias("instance_id"), "wkt", "vehicle_index", F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
     vehicles = [coverage.Vehicle(5.0, 2.0, 2.0), coverage.Vehicle(5.0, 2.0, 2.5, can_reverse=True)]
     return coverage.run_matrix(instances.repartition(spark.sparkContext.defaultParallelism), coverage.standard_configs(), vehicles).drop("planning_s")
@@ -480,15 +485,18 @@ def log_verification(spark, d):
 
 @query()
 def recommender_cross_validation(spark, d):
-    """Predicted regrets at the three vertices, from the vehicle and the return flag, folds by field."""
+    """Predicted regrets at all preferences, from the field's shape, the vehicle and the return flag, folds by field."""
     from ..operators import recommender
 
     runs = _runs(spark, d)
-    r = regret.regrets(runs).where("preference < 3").groupBy("field_id", "instance_id", "config_id", "vehicle_index").pivot("preference", [0, 1, 2]).agg(F.first("regret"))
-    r = r.toDF("field_id", "instance_id", "config_id", "vehicle_index", "e1", "e2", "e3").join(splits.grouped_folds(runs), "field_id")
+    found = regret.regrets(runs).groupBy("field_id", "instance_id", "config_id", "vehicle_index", "applicable")
+    outputs = [f"e{k + 1}" for k in range(len(regret.grid()))]
+    r = found.pivot("preference", list(range(len(outputs)))).agg(F.first("regret"))
+    r = r.toDF(*r.columns[:5], *outputs).join(splits.grouped_folds(runs), "field_id")
+    shape = coverage.features(_notched(spark, d)).withColumn("field_id", F.col("field_id").cast("string"))
     flag = F.split_part("instance_id", F.lit(":"), F.lit(2))
-    r = r.withColumn("flag", F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0)).withColumn("vehicle", F.col("vehicle_index").cast("double"))
-    return recommender.cross_predict(r, ["vehicle", "flag"], ["e1", "e2", "e3"], trees=10)
+    r = r.join(shape, "field_id").withColumn("flag", F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0)).withColumn("vehicle", F.col("vehicle_index").cast("double"))
+    return recommender.cross_predict(r, [*shape.columns[1:], "vehicle", "flag"], outputs)
 
 
 @query()

@@ -143,6 +143,32 @@ def test_trees():
     assert (recommender.fit_predict(x[:1], y[:1], x, trees=2) == np.maximum(0, y[0])).all()
 
 
+def test_forest_tries_all_features_and_keeps_two_rows_a_leaf():
+    r = np.random.default_rng(3)
+    x, y = r.uniform(size=(90, 5)), r.uniform(size=(90, 22))
+    forest = recommender.grow(x, y, r, 7)
+    at = np.repeat(np.arange(7), 90)
+    rows = np.tile(np.arange(90), 7)
+    while (inner := forest.feature[at] >= 0).any():
+        goes = x[rows, np.maximum(forest.feature[at], 0)] <= forest.cut[at]
+        at = np.where(inner, np.where(goes, forest.left[at], forest.right[at]), at)
+    leaves, n = np.unique(at, return_counts=True)
+    assert n.min() >= 2 and n.sum() == 630
+    for leaf in leaves:
+        assert forest.value[leaf] == pytest.approx(y[rows[at == leaf]].mean(0))
+    # one telling feature of nine: the first cuts use it, as every feature is tried
+    wide = r.uniform(size=(200, 9))
+    root = recommender.grow(wide, (wide[:, 4:5] > 0.5).astype(float), r, 100)
+    assert (root.feature[:100] == 4).mean() > 0.9
+
+
+def test_recommender_learns_from_applicable_rows(spark):
+    rows = [("c", f"i{k}", k % 2, k % 3 != 0, 1.0, 5.0 if k % 3 else 900.0) for k in range(24)]
+    d = spark.createDataFrame(rows, "config_id string, instance_id string, fold long, applicable boolean, x double, e1 double")
+    got = recommender.cross_predict(d, ["x"], ["e1"], trees=4).collect()
+    assert len(got) == 24 and all(g.e1 == pytest.approx(5.0) for g in got)
+
+
 def test_sandbox_and_evolution():
     for bad in ("import os\n", "def f(p):\n    return p.__class__\n", "def f(p):\n    return open('x')\n", "def f(:\n"):
         with pytest.raises((evolution.Refused, NameError)):

@@ -49,3 +49,10 @@ def test_forward_paths_are_not_shorter(spark):
 def test_reruns_agree(spark, name):
     f = entry.queries()[name]
     assert rows(f(spark, DATA).columns, f(spark, DATA).collect()) == rows(f(spark, DATA).columns, f(spark, DATA).collect())
+
+
+def test_recommender_predicts_all_preferences(spark):
+    got = entry.queries()["recommender_cross_validation"](spark, DATA)
+    runs = plans._runs(spark, DATA)
+    assert got.columns == ["config_id", "instance_id", "fold", *(f"e{k}" for k in range(1, 23))]
+    assert got.count() == runs.count() and got.where(" OR ".join(f"e{k} IS NULL OR e{k} < 0" for k in range(1, 23))).count() == 0
