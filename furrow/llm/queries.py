@@ -65,9 +65,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held = _fold(7, 2, "doc_id")
-    model = ngram_lm.train(docs.where(~held))
-    return ngram_lm.scores(docs, model, held).withColumnRenamed("id", "doc_id")
+    return ngram_lm.fold_scores(docs, _fold(7, 2, "doc_id")).withColumnRenamed("id", "doc_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
