@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import about
+from .sampling import by_class
 
 TRAIN_ROWS, BUCKETS, DIMENSIONS, UNKNOWN = 2_000, 1 << 16, 16, "und"
 #: Code points of a text that are looked at together; a longer text is cut at a blank.
@@ -98,15 +98,22 @@ class Model:
         return predict
 
 
-def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = 4, rate: float = 0.3, reject_share: float = 0.001, seed: int = 3) -> Model:
+def _shares(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The buckets of a text's subwords and the share of each; nothing for a text without letters."""
+    found = list(grams(text, buckets))
+    if not found:
+        return None
+    places, times = np.unique(np.concatenate(found), return_counts=True)
+    return places.astype(np.int64), (times / times.sum()).astype(np.float32)
+
+
+def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS, **options) -> Model:
     """Fits on texts in memory; every tenth is left out for calibration. Texts without letters are not used."""
-    x, y = [], []
-    for text, language in zip(texts, languages):
-        found = list(grams(text, buckets))
-        if found:
-            places, times = np.unique(np.concatenate(found), return_counts=True)
-            x.append((places.astype(np.int64), (times / times.sum()).astype(np.float32)))
-            y.append(language)
+    shares = [(s, v) for s, v in zip((_shares(t, buckets) for t in texts), languages) if s is not None]
+    return _descend([s for s, _ in shares], [v for _, v in shares], buckets=buckets, **options)
+
+
+def _descend(x: list, y: list[str], *, buckets: int, dimensions: int = DIMENSIONS, epochs: int = 4, rate: float = 0.3, reject_share: float = 0.001, seed: int = 3) -> Model:
     known = tuple(sorted(set(y)))
     if not known:
         return Model((), np.zeros((buckets, 0)), np.zeros(0), np.zeros(buckets, bool))
@@ -149,15 +156,28 @@ def fit(texts: list[str | None], languages: list[str], *, buckets: int = BUCKETS
     return Model(known, table, bias.astype(np.float64), seen, temperature, threshold)
 
 
-def train(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, folds: int = 4, held: int = 2, **options) -> Model:
+def train(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, folds: int = 4, held: int = 2, buckets: int = BUCKETS, **options) -> Model:
     """Fits on about ``train_rows`` documents (a documented bound) with a language, none of the held-out fold.
 
-    A document's fold is crc32(doc_id as text) mod ``folds``; rows with a null id, language or text aren't used.
+    Every language has its share of the sample, or a like number of rows if that is more. Texts are turned into shares of
+    buckets where they lie; the driver gets these. A document's fold is crc32(doc_id as text) mod ``folds``; rows with a null
+    id, language or text aren't used, repeated rows are each used, an empty table gives a model of no languages.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    usable = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
-    chosen = about(usable, "doc_id", train_rows).where("text IS NOT NULL").toPandas().sort_values(["doc_id", "lang", "text"])
-    return fit(chosen["text"].tolist(), chosen["lang"].tolist(), **options)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    usable = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != held)
+
+    def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shares(t.as_py(), buckets) for t in batch.column(2)]
+            keep = pa.array([f is not None for f in found])
+            places, shares = ([f[k] for f in found if f is not None] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(places, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["doc_id", "lang", "places", "shares"])
+
+    chosen = by_class(usable, "doc_id", "lang", train_rows).select("doc_id", "lang", "text")
+    shaped = chosen.mapInArrow(shape, "doc_id long, lang string, places array<int>, shares array<float>").toArrow().combine_chunks()
+    order = sorted(range(shaped.num_rows), key=lambda i: (shaped["doc_id"][i].as_py(), shaped["lang"][i].as_py(), shaped["places"][i].values.to_numpy().tobytes()))
+    x = [(shaped["places"][i].values.to_numpy().astype(np.int64), shaped["shares"][i].values.to_numpy()) for i in order]
+    return _descend(x, [shaped["lang"][i].as_py() for i in order], buckets=buckets, **options)
 
 
 def predictions(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
