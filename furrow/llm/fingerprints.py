@@ -117,50 +117,64 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, per_part: int = 20_000, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
+def _ranges(rows: DataFrame, known: int, parts: int, seed: int = 23) -> np.ndarray:
+    """The smallest ids of about ``parts`` ranges of ids that hold about as many bytes of text each, by a bounded sample;
+    the sample only evens out the ranges."""
+    rate = min(1.0, min(128 * parts, 1 << 20) / max(1, known))
+    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    told = rows.where("id IS NOT NULL").where(share < rate).select("id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("double").alias("size")).toArrow()
+    ids, sizes = (told[c].to_numpy() for c in ("id", "size"))
+    order = np.argsort(ids, kind="stable")
+    ids, before = ids[order], np.cumsum(sizes[order])
+    at = np.searchsorted(before, np.arange(1, parts) * (before[-1] / parts if len(before) else 0))
+    bounds = np.unique(ids[np.minimum(at, len(ids) - 1)]) if len(ids) else ids
+
+    @F.pandas_udf("long")
+    def range_of(i: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, i.to_numpy(np.int64), "right"))
+
+    lows = rows.select("id").where("id IS NOT NULL").groupBy(range_of("id").alias("range")).agg(F.min("id").alias("low")).toArrow()
+    return np.sort(lows["low"].to_numpy())
+
+
+def edited(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, per_part: int = 200_000, part_bytes: int = 32 << 20, width: int = WIDTH, hashes: int = HASHES) -> DataFrame:
     """Each row's fingerprint beside those of its edited text and of the next document.
 
     The next document is the one with the next larger id, after the last the one with the smallest; the edited
     text has the last floor(n / 2) code points replaced by the first as many of the next document's (all, if it
-    has fewer). Rows are dealt by ranges of ids, each with a copy of the first document of the next range, so
-    texts are shuffled once, and each task streams its ranges from the largest id down, holding one document.
-    Each of the rows that repeat an id is returned, and the smallest text counts as the document's; a row with a
-    null id takes the smallest id's document as its next, or itself if no row has an id; so does the only
-    document. Null texts count as empty.
+    has fewer). Rows are dealt by ranges of ids of about equal bytes, one range a task, each with a copy of the first
+    document of the next range, so texts are shuffled once, and each task streams its range from the largest id down,
+    holding one document. Each of the rows that repeat an id is returned, and the smallest text counts as the
+    document's; a row with a null id takes the smallest id's document as its next, or itself if no row has an id; so
+    does the only document. Null texts count as empty, an empty table gives no rows. Only the two columns named are read,
+    so other columns' names don't matter.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    total, known = rows.agg(F.count("*"), F.count("id")).first()
-    parts = max(1, -(-known // per_part), min(rows.sparkSession.sparkContext.defaultParallelism * 2, known // 64))
-    ids = rows.select("id").where("id IS NOT NULL")
-    bounds = np.unique(np.array(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [], np.int64))
-
-    @F.pandas_udf("long")
-    def part_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, i.to_numpy(np.int64), "right"))
-
-    heads = sorted(tuple(r) for r in ids.groupBy(part_of("id").alias("p")).agg(F.min("id")).collect()) if known else []
-    own, low = (np.array([h[k] for h in heads], np.int64) for k in (0, 1))
+    total, known, size = rows.agg(F.count("*"), F.count("id"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = max(1, min(known, max(-(-size // part_bytes), -(-known // per_part), min(rows.sparkSession.sparkContext.defaultParallelism * 2, known // 64))))
+    low = _ranges(rows, known, parts) if known else np.empty(0, np.int64)
     loose = max(1, -(-(total - known) // per_part)) if total > known else 0  # parts of rows without an id
+    ranges = len(low)
 
     @F.pandas_udf("array<long>")
     def places(i: pd.Series, salt: pd.Series) -> pd.Series:
-        """Twice the part, plus one for the copy that a range before it needs; rows without an id go below 0."""
+        """Twice the part, plus one for the copy that a range before it needs; rows without an id come last."""
         out = []
         for x, s in zip(i, salt):
             if pd.isna(x):
-                out.append([-2 * (1 + int(s) % loose)])
+                out.append([2 * (ranges + int(s) % loose)])
                 continue
             at = int(np.searchsorted(low, x, "right")) - 1
-            out.append([2 * int(own[at])])
+            out.append([2 * at])
             if low[at] == x:
-                out[-1].append(2 * int(own[at - 1]) + 1)
+                out[-1].append(2 * ((at - 1) % ranges) + 1)
                 if at == 0:
-                    out[-1].extend(-2 * (1 + j) + 1 for j in range(loose))
+                    out[-1].extend(2 * (ranges + j) + 1 for j in range(loose))
         return pd.Series(out)
 
     dealt = rows.withColumn("place", F.explode(places("id", F.xxhash64("text"))))
-    dealt = dealt.select(F.floor(F.col("place") / 2).alias("part"), (F.pmod("place", F.lit(2)) == 1).alias("peek"), "id", "text")
-    dealt = dealt.repartition(max(1, len(heads) + loose), "part").sortWithinPartitions("part", F.desc("peek"), F.desc("id"), F.asc("text"))
+    dealt = dealt.select(F.floor(F.col("place") / 2).cast("int").alias("part"), (F.pmod("place", F.lit(2)) == 1).alias("peek"), "id", "text")
+    dealt = dealt.repartitionById(max(1, ranges + loose), "part").sortWithinPartitions("part", F.desc("peek"), F.desc("id"), F.asc("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = words.Permutations(hashes)
