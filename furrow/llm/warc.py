@@ -108,7 +108,8 @@ def write(pages: DataFrame, *, least_revisit: int = 0, lines: int = LINES) -> Ar
 
     Of rows with equal payloads of at least ``least_revisit`` bytes, those with the largest page_id are responses
     and the others revisit it; smaller ones are all responses. A null html is an empty payload; rows with a null
-    page_id revisit a row that has one, or are responses. Repeated rows get a record each.
+    page_id revisit a row that has one, or are responses. Repeated rows get a record each, an empty table gives an
+    archive without records. Columns are read by name, so others don't matter.
     """
     spark = pages.sparkSession
     folder = Folder(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
@@ -116,8 +117,10 @@ def write(pages: DataFrame, *, least_revisit: int = 0, lines: int = LINES) -> Ar
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     newest = rows.groupBy("sha", "size").agg(F.max("page_id").alias("newest"))
+    # digests meet without their payloads; these move once, by page, so a frequent payload is no hot key for them
     refers = F.when((F.col("size") >= least_revisit) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
-    told = rows.join(newest, ["sha", "size"]).withColumn("refers_to", refers)
+    named = rows.select("page_id", "sha", "size").distinct().join(newest, ["sha", "size"]).select(F.col("page_id").alias("page"), F.col("sha").alias("its_sha"), refers.alias("refers_to"))
+    told = rows.join(named, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("sha") == F.col("its_sha")))
     told = told.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "sha", "size", "refers_to")
     archives = folder.child("archives")
 
@@ -219,10 +222,12 @@ def read(archive: Archive, payloads: bool = True) -> DataFrame:
 
 
 def look_up(spark: SparkSession, archive: Archive, url: str | None) -> list[dict]:
-    """All records of a URL, or of the rows without one, by the directory, one or more blocks and the records' ranges."""
-    blocks = archive.directory.select("first_key", "last_key", "file", "offset", "length").collect()
-    directory = sorted(map(tuple, blocks))
+    """All records of a URL, or of the rows without one, by the directory, one or more blocks and the records' ranges.
+
+    Only the directory's rows whose range holds the key come to the driver."""
     key = url_key(url)
+    blocks = archive.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("first_key", "last_key", "file", "offset", "length").collect()
+    directory = sorted(map(tuple, blocks))
     at = bisect.bisect_left(directory, key, key=lambda block: block[1])
     out = []
     for first, _, file, offset, length in directory[at:]:
