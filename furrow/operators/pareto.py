@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.scalars import dominates
 from ..functions.status import derived_status
@@ -90,16 +92,42 @@ def volume(box: np.ndarray, reference: np.ndarray) -> float:
     return total
 
 
-def hypervolumes(rows: DataFrame) -> DataFrame:
-    """``(instance_id, hypervolume, normalized)`` against each instance's own reference columns."""
-    names = [*OBJECTIVES, *(f"ref_{o}" for o in OBJECTIVES)]
+@F.pandas_udf(T.DoubleType())
+def _volumes(points: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([volume(np.stack(p), np.asarray(r, float)) for p, r in zip(points, reference)], dtype=float)
+
+
+def single(column: str) -> Column:
+    """The one value of a group's column; an error if there are several, null if there is none."""
+    several = F.raise_error(F.concat(F.lit(f"several values of {column}: "), F.min(column).cast("string"), F.lit(", "), F.max(column).cast("string")))
+    return F.when(F.min(column) == F.max(column), F.min(column)).when(F.count(column) > 0, several.cast("double"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reference = pdf[[f"ref_{o}" for o in OBJECTIVES]].iloc[0].to_numpy(float)
-        v = volume(pdf[list(OBJECTIVES)].to_numpy(float), reference)
-        return pd.DataFrame({"instance_id": [pdf["instance_id"].iloc[0]], "hypervolume": [v], "normalized": [v / reference.prod()]})
 
-    return rows.select("instance_id", *names).groupBy("instance_id").applyInPandas(run, "instance_id string, hypervolume double, normalized double")
+def references(runs: DataFrame, fallback: dict[str, float] | None = None) -> DataFrame:
+    """``(instance_id, ref_..., scope)``: an instance's own reference, or the ``fallback`` for all where it has none.
+
+    An instance's rows must agree; one without a reference is an error where there is no fallback. ``scope`` is
+    "instance" or "global".
+    """
+    own = [f"ref_{o}" for o in OBJECTIVES]
+    by = runs.groupBy("instance_id").agg(*(single(c).alias(c) for c in own))
+    whole = sum(F.col(c).isNotNull().cast("int") for c in own) == len(own)
+    missing = F.raise_error(F.concat(F.lit("no reference for "), "instance_id")).cast("double")
+    other = {f"ref_{o}": F.lit(float(fallback[o])) if fallback else missing for o in OBJECTIVES}
+    scope = F.when(whole, "instance").otherwise("global")
+    return by.select("instance_id", *(F.when(whole, F.col(c)).otherwise(other[c]).alias(c) for c in own), scope.alias("scope"))
+
+
+def hypervolumes(rows: DataFrame) -> DataFrame:
+    """``(instance_id, hypervolume, normalized)`` against each instance's own reference columns, which must agree.
+
+    An instance's points, at most one a configuration, are gathered in an array; volumes are found a batch of instances at
+    a time.
+    """
+    by = rows.groupBy("instance_id").agg(F.collect_list(F.array(*OBJECTIVES)).alias("points"), *(single(f"ref_{o}").alias(f"ref_{o}") for o in OBJECTIVES))
+    reference = F.array(*(f"ref_{o}" for o in OBJECTIVES))
+    found = by.select("instance_id", _volumes("points", reference).alias("hypervolume"), reference.alias("r"))
+    return found.select("instance_id", "hypervolume", (F.col("hypervolume") / (F.col("r")[0] * F.col("r")[1] * F.col("r")[2])).alias("normalized"))
 
 
 def front_evaluation(runs: DataFrame) -> DataFrame:
@@ -128,14 +156,13 @@ def pareto_summary(runs: DataFrame) -> DataFrame:
 
 
 def ecdf(values: DataFrame, column: str) -> DataFrame:
-    """``(value, n, share)``: for each value how many rows have it, and the share of rows up to it.
+    """``(value, share)``: a row for each row that has a value, the i-th in order with (i + 1) / n, ties apart.
 
-    A row's own step (i + 1) / n among its ties follows from the value's count; so ties aren't ordered by a window
-    over all rows.
+    Values are counted first, and each count is spread again, so no window spans all rows.
     """
     by = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
     up = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by.withColumn("share", F.sum("n").over(up) / F.sum("n").over(whole))
+    by = by.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(whole))
+    steps = by.select("value", "total", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, "upto")).alias("step"))
+    return steps.select("value", (F.col("step") / F.col("total")).alias("share"))

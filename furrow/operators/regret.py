@@ -26,23 +26,33 @@ def preferences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *w) for k, w in enumerate(grid())], "preference long, w1 double, w2 double, w3 double")
 
 
-def regrets(runs: DataFrame) -> DataFrame:
+def regrets(runs: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
     """``(field_id, instance_id, config_id, vehicle_index, preference, score, regret, applicable)`` for each nominal
     configuration of an instance and each preference.
 
     The score is the weighted Chebyshev distance; the regret is against the best observed one. A configuration
     that wasn't observed ok has the instance's largest regret plus one; all are null where none was observed.
+    ``applicable(config_id, vehicle_index)`` names what goes together whatever was observed; a run that is ok but not
+    there is an error. Without that table a run counts as applicable unless its status says otherwise.
+
+    The scores of all preferences travel side by side, so the matrix is shuffled once, not once a preference.
     """
     rows = with_status(runs)
     ok = F.col("status") == "ok"
-    weights = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("preference"), *(F.lit(x).alias(f"w{i + 1}") for i, x in enumerate(w))) for k, w in enumerate(grid()))))
-    long = rows.select("field_id", "instance_id", "config_id", "vehicle_index", "status", *OBJECTIVES, *(f"ref_{o}" for o in OBJECTIVES), weights.alias("p"))
-    score = F.when(ok, scalarize([F.col(o) for o in OBJECTIVES], [F.col(f"ref_{o}") for o in OBJECTIVES], [F.col(f"p.w{i}") for i in (1, 2, 3)]))
-    long = long.withColumn("score", score).withColumn("preference", F.col("p.preference"))
-    w = Window.partitionBy("instance_id", "preference")
-    found = F.col("score") - F.min("score").over(w)
-    worst = F.max("score").over(w) - F.min("score").over(w)
-    return long.select("field_id", "instance_id", "config_id", "vehicle_index", "preference", "score", F.coalesce(found, worst + 1).alias("regret"), (F.col("status") != "not_applicable").alias("applicable"))
+    fits = F.col("status") != "not_applicable"
+    if applicable is not None:
+        rows = rows.join(applicable.select("config_id", "vehicle_index").distinct().withColumn("fits", F.lit(True)), ["config_id", "vehicle_index"], "left")
+        alien = F.raise_error(F.concat(F.lit("ok though not applicable: "), "instance_id", F.lit(" "), "config_id")).cast("boolean")
+        fits = F.when(ok & F.col("fits").isNull(), alien).otherwise(F.coalesce("fits", F.lit(False)))
+    values, reference = [F.col(o) for o in OBJECTIVES], [F.col(f"ref_{o}") for o in OBJECTIVES]
+    scores = {f"s{k}": F.when(ok, scalarize(values, reference, [F.lit(x) for x in w])) for k, w in enumerate(grid())}
+    keys = ["field_id", "instance_id", "config_id", "vehicle_index"]
+    w = Window.partitionBy("instance_id")
+    wide = rows.select(*keys, fits.alias("applicable"), *(s.alias(k) for k, s in scores.items()))
+    wide = wide.select("*", *(f(k).over(w).alias(k + name) for k in scores for f, name in ((F.min, "low"), (F.max, "high"))))
+    told = [F.struct(F.lit(i).cast("long").alias("preference"), F.col(k).alias("score"), F.coalesce(F.col(k) - F.col(k + "low"), F.col(k + "high") - F.col(k + "low") + 1).alias("regret")) for i, k in enumerate(scores)]
+    long = wide.select(*keys, "applicable", F.explode(F.array(*told)).alias("p"))
+    return long.select(*keys, "p.preference", "p.score", "p.regret", "applicable")
 
 
 def random_baselines(regret: DataFrame) -> DataFrame:

@@ -39,11 +39,15 @@ def _applicable(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "config_id string, vehicle_index long")
 
 
+def _regrets(spark: SparkSession, d: str) -> DataFrame:
+    return regret.regrets(_runs(spark, d), _applicable(spark))
+
+
 _RUNS = f"""WITH raw AS (SELECT l_suppkey, l_returnflag, l_linestatus, l_linenumber AS ln, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS v,
  count(*) AS n, min(l_extendedprice) AS a, min(l_quantity) + 1.0 AS c FROM lineitem GROUP BY ALL),
 runs0 AS (SELECT CAST(l_suppkey AS VARCHAR) AS field_id, concat_ws(':', l_suppkey, l_returnflag, l_linestatus) AS instance_id, 'c' || ln AS config_id, CAST(v AS BIGINT) AS vehicle_index,
- CASE WHEN (ln = 7 AND v = 0) OR n % 5 = 3 THEN 'not_applicable' WHEN n % 7 = 4 THEN 'timeout' WHEN n % 11 = 6 THEN 'collision' ELSE 'ok' END AS runstatus,
- CASE WHEN ln = 7 AND v = 0 THEN 'needs a reverse gear' WHEN n % 5 = 3 THEN 'validator_rejected:outside_area' END AS failure_reason, a, n, c FROM raw),
+ CASE WHEN (ln = 7 AND v = 0) OR n % 5 = 3 OR n % 13 = 5 THEN 'not_applicable' WHEN n % 7 = 4 THEN 'timeout' WHEN n % 11 = 6 THEN 'collision' ELSE 'ok' END AS runstatus,
+ CASE WHEN ln = 7 AND v = 0 THEN 'needs a reverse gear' WHEN n % 5 = 3 THEN 'validator_rejected:outside_area' WHEN n % 13 = 5 THEN 'the headland leaves nothing' END AS failure_reason, a, n, c FROM raw),
 runs AS (SELECT field_id, instance_id, config_id, vehicle_index, runstatus, failure_reason, CASE WHEN starts_with(failure_reason, 'validator_rejected:') THEN substr(failure_reason, 20) ELSE runstatus END AS status,
  CASE WHEN runstatus = 'ok' THEN CAST(a AS DOUBLE) END AS path_length, CASE WHEN runstatus = 'ok' THEN CAST(n AS DOUBLE) END AS headland_turns, CASE WHEN runstatus = 'ok' THEN CAST(c AS DOUBLE) END AS row_crossings,
  {REFERENCE["path_length"]}::DOUBLE AS ref_path_length, {REFERENCE["headland_turns"]}::DOUBLE AS ref_headland_turns, {REFERENCE["row_crossings"]}::DOUBLE AS ref_row_crossings FROM runs0),
@@ -66,7 +70,7 @@ inner_front AS (SELECT * FROM inner0 x WHERE NOT beyond AND NOT EXISTS (SELECT 1
 """ + _BOX.format(source="inner_front")
 _GRID = ", prefs(preference, w1, w2, w3) AS (VALUES " + ", ".join(f"({k}::BIGINT, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for k, (a, b, c) in enumerate(regret.grid())) + ")"
 _REGRET = _GRID + """, scored AS (SELECT field_id, instance_id, config_id, vehicle_index, preference, status, CASE WHEN status = 'ok' THEN greatest(w1 * (path_length / ref_path_length), w2 * (headland_turns / ref_headland_turns), w3 * (row_crossings / ref_row_crossings)) END AS score FROM runs CROSS JOIN prefs),
-reg AS (SELECT *, coalesce(score - min(score) OVER w, max(score) OVER w - min(score) OVER w + 1) AS regret, status <> 'not_applicable' AS applicable FROM scored WINDOW w AS (PARTITION BY instance_id, preference)),
+reg AS (SELECT *, coalesce(score - min(score) OVER w, max(score) OVER w - min(score) OVER w + 1) AS regret, NOT (config_id = 'c7' AND vehicle_index = 0) AS applicable FROM scored WINDOW w AS (PARTITION BY instance_id, preference)),
 losses AS (SELECT field_id, config_id, avg(loss) AS loss, count(*) AS n_instances FROM (SELECT field_id, instance_id, config_id, avg(regret) AS loss FROM reg WHERE regret IS NOT NULL GROUP BY ALL) GROUP BY ALL)
 """
 _FOLDS = """, folds AS (SELECT field_id, (row_number() OVER (ORDER BY sha256('20260822' || chr(31) || field_id), field_id) - 1) % 10 + 1 AS fold FROM (SELECT DISTINCT field_id FROM runs))
@@ -140,7 +144,7 @@ def pareto_summary(spark, d):
     return pareto.pareto_summary(_runs(spark, d))
 
 
-@query(_RUNS + "SELECT front_size AS value, count(*) AS n, sum(count(*)) OVER (ORDER BY front_size) / sum(count(*)) OVER () AS share FROM sizes WHERE front_size IS NOT NULL GROUP BY front_size")
+@query(_RUNS + "SELECT front_size AS value, row_number() OVER (ORDER BY front_size) / count(*) OVER () AS share FROM sizes WHERE front_size IS NOT NULL")
 def front_size_ecdf(spark, d):
     return pareto.ecdf(pareto.front_sizes(_runs(spark, d)), "front_size")
 
@@ -179,23 +183,23 @@ def preference_grid(spark, d):
 
 @query(_RUNS + _REGRET + "SELECT instance_id, config_id, preference, round(score, 12) AS score, round(regret, 12) AS regret FROM reg")
 def regret_table(spark, d):
-    return regret.regrets(_runs(spark, d)).select("instance_id", "config_id", "preference", F.round("score", 12).alias("score"), F.round("regret", 12).alias("regret"))
+    return _regrets(spark, d).select("instance_id", "config_id", "preference", F.round("score", 12).alias("score"), F.round("regret", 12).alias("regret"))
 
 
 @query(_RUNS + _REGRET + "SELECT instance_id, preference, round(avg(regret) FILTER (applicable), 12) AS random_applicable, round(avg(regret), 12) AS random_nominal FROM reg GROUP BY ALL")
 def random_baselines(spark, d):
-    b = regret.random_baselines(regret.regrets(_runs(spark, d)))
+    b = regret.random_baselines(_regrets(spark, d))
     return b.select("instance_id", "preference", F.round("random_applicable", 12).alias("random_applicable"), F.round("random_nominal", 12).alias("random_nominal"))
 
 
 @query(_RUNS + _REGRET + "SELECT field_id, config_id, round(loss, 6) AS loss, n_instances FROM losses")
 def field_losses(spark, d):
-    return regret.field_losses(regret.regrets(_runs(spark, d))).select("field_id", "config_id", F.round("loss", 6).alias("loss"), "n_instances")
+    return regret.field_losses(_regrets(spark, d)).select("field_id", "config_id", F.round("loss", 6).alias("loss"), "n_instances")
 
 
 @query(_RUNS + _REGRET + "SELECT config_id, round(loss, 6) AS loss, n_fields FROM (SELECT config_id, round(avg(loss), 9) AS loss, count(*) AS n_fields FROM losses GROUP BY ALL) ORDER BY 2, 1 LIMIT 1")
 def single_best_solver(spark, d):
-    return regret.single_best(regret.field_losses(regret.regrets(_runs(spark, d)))).select("config_id", F.round("loss", 6).alias("loss"), "n_fields")
+    return regret.single_best(regret.field_losses(_regrets(spark, d))).select("config_id", F.round("loss", 6).alias("loss"), "n_fields")
 
 
 @query(_RUNS + _FOLDS + "SELECT * FROM folds")
@@ -215,7 +219,7 @@ rnd AS (SELECT fold, round(avg(a), 6) AS random_applicable_loss, round(avg(n), 6
 SELECT * FROM chosen JOIN rnd USING (fold)""")
 def cross_validation(spark, d):
     runs = _runs(spark, d)
-    return regret.cross_validate(regret.regrets(runs), splits.grouped_folds(runs))
+    return regret.cross_validate(_regrets(spark, d), splits.grouped_folds(runs))
 
 
 @query("SELECT count(v) AS n, min(v) AS least, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS most, round(avg(v), 6) AS mean, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM (SELECT value::DOUBLE AS v FROM events)")
@@ -489,7 +493,7 @@ def recommender_cross_validation(spark, d):
     from ..operators import recommender
 
     runs = _runs(spark, d)
-    found = regret.regrets(runs).groupBy("field_id", "instance_id", "config_id", "vehicle_index", "applicable")
+    found = _regrets(spark, d).groupBy("field_id", "instance_id", "config_id", "vehicle_index", "applicable")
     outputs = [f"e{k + 1}" for k in range(len(regret.grid()))]
     r = found.pivot("preference", list(range(len(outputs)))).agg(F.first("regret"))
     r = r.toDF(*r.columns[:5], *outputs).join(splits.grouped_folds(runs), "field_id")
@@ -502,7 +506,7 @@ def recommender_cross_validation(spark, d):
 @query()
 def recommender_test(spark, d):
     """The single best configuration's loss less half of a random applicable one's, by field, under sign flips."""
-    r = regret.regrets(_runs(spark, d))
+    r = _regrets(spark, d)
     best = regret.single_best(regret.field_losses(r)).select("config_id")
     ours = regret.field_losses(r).join(F.broadcast(best), "config_id").select("field_id", F.col("loss").alias("ours"))  # one row
     random = regret.random_baselines(r).where("random_applicable IS NOT NULL").withColumn("field_id", F.split_part("instance_id", F.lit(":"), F.lit(1)))

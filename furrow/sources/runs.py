@@ -22,8 +22,9 @@ def runs_view(lineitem: DataFrame) -> DataFrame:
     )
     vehicle = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
     static = (number == 7) & (vehicle == 0)
-    status = F.when(static | (F.col("n") % 5 == 3), "not_applicable").when(F.col("n") % 7 == 4, "timeout").when(F.col("n") % 11 == 6, "collision").otherwise("ok")
-    reason = F.when(static, "needs a reverse gear").when(F.col("n") % 5 == 3, "validator_rejected:outside_area")
+    collapsed = F.col("n") % 13 == 5  # not applicable here, though the configuration goes with the vehicle
+    status = F.when(static | (F.col("n") % 5 == 3) | collapsed, "not_applicable").when(F.col("n") % 7 == 4, "timeout").when(F.col("n") % 11 == 6, "collision").otherwise("ok")
+    reason = F.when(static, "needs a reverse gear").when(F.col("n") % 5 == 3, "validator_rejected:outside_area").when(collapsed, "the headland leaves nothing")
     out = by.select(
         F.col("l_suppkey").cast("string").alias("field_id"),
         F.concat_ws(":", F.col("l_suppkey").cast("string"), "l_returnflag", "l_linestatus").alias("instance_id"),
