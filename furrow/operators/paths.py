@@ -112,3 +112,11 @@ def tour_lengths(tours: DataFrame, nodes: DataFrame, distance, key: str = "tour_
     nxt = F.coalesce(F.lead(F.struct("x", "y")).over(w), first)
     legs = at.select(key, (nxt["x"] - F.col("x")).alias("dx"), (nxt["y"] - F.col("y")).alias("dy"))
     return legs.groupBy(key).agg(F.sum(distance(F.col("dx"), F.col("dy"))).alias("length"), F.count("*").alias("n_nodes"))
+
+
+def nearest_cells(segments: DataFrame, cells: DataFrame, key: str = "field_id") -> DataFrame:
+    """``(segment_id, cell, distance)``: the nearest of a field's ``cells(cell, cx, cy)`` to a segment's middle ``(x, y)``, the
+    smaller among equals; null where the field has none. A field's cells are few, so the join's fan-out is bounded by them."""
+    distance = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    near = segments.join(cells, key).groupBy("segment_id").agg(F.min(F.struct(distance.alias("distance"), "cell")).alias("near"))
+    return segments.select("segment_id").join(near, "segment_id", "left").select("segment_id", "near.cell", "near.distance")

@@ -75,3 +75,28 @@ def pool_sizes(runs: DataFrame) -> DataFrame:
         F.min("size").alias("least"), at(F.floor(0.25 * last)).alias("q1"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), at(F.floor(0.75 * last)).alias("q3"),
         F.max("size").alias("most"), F.round(F.sum(F.col("size") * F.col("n")) / F.max("total"), 4).alias("mean"),
     )
+
+
+def census_by_fold(sizes: DataFrame, folds: DataFrame, holdout: list[int]) -> DataFrame:
+    """``(fold, split, ...)`` of :func:`census`: fields, instances, mean pools and instances without an ok run of each fold;
+    a fold's split is by field alone."""
+    split = F.when(F.col("fold").isin(*holdout), "holdout").otherwise("train")
+    return sizes.join(folds, "field_id").groupBy("fold", split.alias("split")).agg(
+        F.count_distinct("field_id").alias("n_fields"), F.count("*").alias("n_instances"), F.round(F.avg("observed"), 6).alias("mean_ok"),
+        F.round(F.avg(F.col("applicable") - F.col("observed")), 6).alias("mean_lost"), F.sum((F.col("observed") == 0).cast("long")).alias("zero_ok"),
+    )
+
+
+def size_histogram(runs: DataFrame) -> DataFrame:
+    """``(size, n)``: how many instances have so many runs that are ok."""
+    sizes = with_status(runs).groupBy("instance_id").agg(F.sum((F.col("status") == "ok").cast("long")).alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n"))
+
+
+def classes(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """``(name, vehicle_index, status, n, share)``: every class of status of a configuration and vehicle with its share.
+    ``names(config_id, name)`` may lack configurations, which go by the first eight letters of their id."""
+    by = with_status(runs).groupBy("config_id", "vehicle_index", "status").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("config_id", "vehicle_index"))
+    by = by.withColumn("share", F.round(share, 6)).join(names, "config_id", "left")
+    return by.select(F.coalesce("name", F.substring("config_id", 1, 8)).alias("name"), "vehicle_index", "status", "n", "share")

@@ -99,12 +99,12 @@ def fit_predict(train_x, train_y, test_x, trees: int = TREES, seed: int = SEED,
     return np.maximum(0.0, total / trees)
 
 
-def cross_predict(table: DataFrame, features: list[str], outputs: list[str], trees: int = TREES, seed: int = SEED) -> DataFrame:
+def cross_predict(table: DataFrame, features: list[str], outputs: list[str], trees: int = TREES, seed: int = SEED, held: list[int] | None = None) -> DataFrame:
     """``(config_id, instance_id, fold, predicted...)``: each configuration's model of the other folds' applicable rows
     predicts a fold's rows; ``table`` has the flag ``applicable``, and a choice is made among the applicable ones. Rows
-    without all outputs are predicted, not learnt from. A configuration's rows, one an
+    without all outputs are predicted, not learnt from; a null feature counts as 0. ``held`` names the folds to predict. A configuration's rows, one an
     instance, are one group for each fold; configurations are few and their rows are bounded by the labelled instances."""
-    kept = table.select("config_id", "instance_id", "fold", "applicable", *features, *outputs)
+    kept = table.select("config_id", "instance_id", "fold", "applicable", *features, *outputs).fillna(0.0, features)
     schema = "config_id string, instance_id string, fold long, " + ", ".join(f"{o} double" for o in outputs)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,6 +116,7 @@ def cross_predict(table: DataFrame, features: list[str], outputs: list[str], tre
         return pd.concat([test[["config_id", "instance_id", "fold"]].reset_index(drop=True), pd.DataFrame(p, columns=outputs)], axis=1)
 
     # a task for each model, told how many, since the rows are few and the work on them is not
-    held = kept.crossJoin(F.broadcast(kept.select(F.col("fold").alias("held")).distinct()))
+    folds = kept.select(F.col("fold").alias("held")).distinct()
+    held = kept.crossJoin(F.broadcast(folds if held is None else folds.where(F.col("held").isin(*held))))
     held = held.repartition(4 * table.sparkSession.sparkContext.defaultParallelism, "config_id", "held")
     return held.groupBy("config_id", "held").applyInPandas(run, schema)

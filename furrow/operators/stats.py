@@ -83,3 +83,14 @@ def compare(ours: DataFrame, golden: DataFrame, key: str, metrics: list[str], to
     relative = F.when(alone, F.raise_error(F.lit("the two results hold different keys")).cast("double")).when(F.col("golden") != 0, off / F.abs("golden")).when(off == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
     both = both.withColumn("off", off).withColumn("relative", relative)
     return both.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.max("off"), 9).alias("max_abs"), F.round(F.max("relative"), 9).alias("max_rel"), F.round(F.median("relative"), 9).alias("median_rel"), F.sum((F.col("relative") > tolerance).cast("long")).alias("n_disagree"))
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: keys, keys that one side lacks, and keys whose columns differ; nulls are equal to nulls."""
+    a, b = left.select(key, F.struct(*columns).alias("a")), right.select(key, F.struct(*columns).alias("b"))
+    both = a.join(b, key, "full_outer")
+    alone = F.col("a").isNull() | F.col("b").isNull()
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return both.agg(F.count("*").alias("n_fields"), F.sum(alone.cast("long")).alias("n_alone"), F.sum((~alone & ~same).cast("long")).alias("n_differ"))

@@ -296,6 +296,73 @@ def features(fields: DataFrame) -> DataFrame:
     return fields.mapInPandas(run, FEATURES)
 
 
+#: The features of an instance, in this order.
+INSTANCE_FEATURES = (
+    "area_m2", "perimeter_area_ratio", "convexity_deficiency", "elongation", "reflex_vertex_count", "obstacle_count", "obstacle_area_ratio", "row_angle_vs_principal",
+    "crossing_density", "spacing_to_width_ratio", "turning_ratio", "swath_count_at_minwidth",
+)
+
+
+def narrow_swaths(exterior: geo.Ring, width: float) -> int:
+    """How many swaths cover a polygon along the side across which it is narrowest; at least one."""
+    u = geo.canonical(geo.min_width_angle(exterior))
+    return max(1, math.ceil(float(np.ptp(exterior @ np.array([-u[1], u[0]]))) / width))
+
+
+def _shape(rings: list[geo.Ring]) -> dict[str, float]:
+    """What features and references share of a field with holes that don't meet each other or its side."""
+    holes = sum(abs(geo.signed_area(h)) for h in rings[1:])
+    full = geo.hull(rings[0])
+    return {"field": abs(geo.signed_area(rings[0])), "holes": holes, "area": abs(geo.signed_area(rings[0])) - holes, "hull": abs(geo.signed_area(full)), "diameter": float(max(np.hypot(*(full - p).T).max() for p in full))}
+
+
+def instance_features(instances: DataFrame) -> DataFrame:
+    """The twelve features of ``instances(instance_id, wkt, row_direction, row_spacing, width, radius)``; the holes of a field
+    are its obstacles. The three features of rows are null where there are none."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                rings = _rings(r.wkt)
+                shape = _shape(rings)
+                long, wide, _ = geo.smallest_rectangle(rings[0])
+                angle = density = ratio = None
+                if r.row_spacing is not None and not math.isnan(r.row_spacing):
+                    off = abs(r.row_direction - geo.principal_angle(rings[0])) % math.pi
+                    angle, density, ratio = min(off, math.pi - off), math.sqrt(shape["area"]) / r.row_spacing, r.row_spacing / r.width
+                out.append((
+                    r.instance_id, shape["area"], sum(map(geo.perimeter, rings)) / math.sqrt(shape["area"]), 1 - shape["area"] / shape["hull"], long / wide if wide > 1e-12 else 1.0,
+                    float(geo.reflex_corners(rings[0], rings[1:])), float(len(rings) - 1), shape["holes"] / shape["field"], angle, density, ratio, r.radius / r.width, float(narrow_swaths(rings[0], r.width)),
+                ))
+            yield pd.DataFrame(out, columns=["instance_id", *INSTANCE_FEATURES]).astype({c: float for c in INSTANCE_FEATURES})
+
+    columns = ("wkt", "row_direction", "row_spacing", "width", "radius")
+    return instances.select("instance_id", *columns).mapInPandas(run, "instance_id string, " + ", ".join(f"{c} double" for c in INSTANCE_FEATURES))
+
+
+def analytic_references(instances: DataFrame) -> DataFrame:
+    """Bounds of the three objectives known before any run, for ``instances`` as :func:`instance_features` takes them.
+
+    The path's bound is :func:`reference_length` of the free area and the number of narrow swaths; that number bounds the
+    turns; crossings are bounded by the path over the spacing, or by 1 where there are no rows. ``basis`` tells which.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                rings = _rings(r.wkt)
+                shape, n = _shape(rings), narrow_swaths(rings[0], r.width)
+                path = reference_length(shape["area"], n, shape["diameter"], r.width, max(r.radius, 0.0))
+                rows = r.row_spacing is not None and not math.isnan(r.row_spacing)
+                out.append((r.instance_id, path, float(max(n, 1)), path / r.row_spacing if rows else 1.0, "path/spacing" if rows else "no rows"))
+            yield pd.DataFrame(out, columns=["instance_id", "ref_path_length", "ref_headland_turns", "ref_row_crossings", "basis"])
+
+    columns = ("wkt", "row_spacing", "width", "radius")
+    return instances.select("instance_id", *columns).mapInPandas(run, "instance_id string, ref_path_length double, ref_headland_turns double, ref_row_crossings double, basis string")
+
+
 def rectangle_plan(part: DataFrame, width: float = 5.0, headland: float = 8.0, radius: float = 2.0) -> DataFrame:
     """The plan of axis-parallel rectangles in closed form: strips along the longer side of what the headland leaves,
     half turns of pi * R + d - 2 R between full strips; rectangles that the headland takes up have none."""

@@ -248,47 +248,6 @@ def wilcoxon_pratt(spark, d):
     return stats.wilcoxon_greater(v, "x", 250.0, pratt=True)
 
 
-_EFFECT = """, bins AS (SELECT field_id, CASE split_part(instance_id, ':', 2) WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS bin, median(front_size)::DOUBLE AS y FROM sizes GROUP BY ALL),
-rb AS (SELECT *, rank() OVER (PARTITION BY field_id ORDER BY bin) + (count(*) OVER (PARTITION BY field_id, bin) - 1) / 2 AS rx, rank() OVER (PARTITION BY field_id ORDER BY y) + (count(*) OVER (PARTITION BY field_id, y) - 1) / 2 AS ry FROM bins WHERE y IS NOT NULL),
-effects AS (SELECT field_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN min(y) = max(y) END AS constant, CASE WHEN count(*) < 3 THEN NULL WHEN min(y) = max(y) THEN 0.0 ELSE round(greatest(least(corr(rx, ry), 1.0), -1.0), 9) END AS rho FROM rb GROUP BY field_id)
-"""
-
-
-def _effects(spark, d) -> DataFrame:
-    """The return flag in alphabetical order stands for the five offsets of a field's rows."""
-    sizes = pareto.front_sizes(_runs(spark, d))
-    flag = F.split_part("instance_id", F.lit(":"), F.lit(2))
-    bins = sizes.groupBy("field_id", F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("bin")).agg(F.median("front_size").alias("y"))
-    return stats.spearman(bins, "field_id", "bin", "y")
-
-
-@query(_RUNS + _EFFECT + "SELECT * FROM effects")
-def field_effects(spark, d):
-    return _effects(spark, d)
-
-
-@query(_RUNS + _EFFECT + ", " + _signed_rank("SELECT rho AS x FROM effects WHERE rho IS NOT NULL", "0.0", True))
-def field_effects_test(spark, d):
-    return stats.wilcoxon_greater(_effects(spark, d), "rho", 0.0, pratt=True)
-
-
-@query(_RUNS + ", fe AS (SELECT field_id, median(front_size)::DOUBLE AS m, median(coalesce(front_size, 0))::DOUBLE AS m0 FROM sizes GROUP BY ALL), vals AS (SELECT m AS x FROM fe WHERE m IS NOT NULL), " + _signed_rank("SELECT x FROM vals", "1.0", False).replace("SELECT n, n_zero, statistic,", "SELECT (SELECT count(*) FROM fe) AS n_fields, (SELECT median(m)::DOUBLE FROM fe) AS median, (SELECT median(m0)::DOUBLE FROM fe) AS sensitivity_median, (SELECT round(count(*) FILTER (m = 1) / count(m), 6) FROM fe) AS singleton_share, statistic,"))
-def pareto_optimality(spark, d):
-    fields = pareto.field_estimates(pareto.front_sizes(_runs(spark, d)))
-    one = fields.agg(F.count("*").alias("n_fields"), F.median("median_front_size").alias("median"), F.median("median_zero_as_zero").alias("sensitivity_median"), F.round(F.sum((F.col("median_front_size") == 1).cast("long")) / F.count("median_front_size"), 6).alias("singleton_share"))
-    return one.join(stats.wilcoxon_greater(fields, "median_front_size", 1.0).select("statistic", "z"))  # one row each
-
-
-@query("""WITH ours AS (SELECT s_suppkey AS k, s_acctbal AS m1, s_acctbal * 1.0000001 AS m2 FROM supplier), golden AS (SELECT s_suppkey AS k, s_acctbal AS m1, round(s_acctbal, 0) AS m2 FROM supplier),
-long AS (SELECT 'm1' AS metric, o.m1 AS a, g.m1 AS b FROM ours o JOIN golden g USING (k) UNION ALL SELECT 'm2', o.m2, g.m2 FROM ours o JOIN golden g USING (k)), r AS (SELECT metric, abs(a - b) AS off, CASE WHEN b <> 0 THEN abs(a - b) / abs(b) WHEN a = b THEN 0 ELSE 'inf'::DOUBLE END AS rel FROM long)
-SELECT metric, count(*) AS n, round(max(off), 9) AS max_abs, round(max(rel), 9) AS max_rel, round(median(rel), 9) AS median_rel, count(*) FILTER (rel > 1e-6) AS n_disagree FROM r GROUP BY ALL""")
-def comparison_report(spark, d):
-    s = table(spark, d, "supplier")
-    ours = s.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("m1"), (F.col("s_acctbal") * 1.0000001).alias("m2"))
-    golden = s.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("m1"), F.round("s_acctbal", 0).alias("m2"))
-    return stats.compare(ours, golden, "k", ["m1", "m2"])
-
-
 @query("SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS evaluations, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
 def anytime_curve(spark, d):
     from pyspark.sql.window import Window
@@ -432,18 +391,6 @@ def exchange_runs(spark, d):
     return of(_runs(spark, d), "path_length")
 
 
-@query("SELECT p_brand AS license, count(*) AS n_fields, count(*) FILTER (p_brand IN ('Brand#1', 'Brand#2')) AS n_allowed FROM part GROUP BY ALL")
-def license_census(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("license")).agg(F.count("*").alias("n_fields"), F.sum(F.col("p_brand").isin("Brand#1", "Brand#2").cast("long")).alias("n_allowed"))
-
-
-
-@query("""SELECT p_partkey AS field_id, round(2 * (w * h) / 5.0 + sqrt(w * w + h * h) + pi() * 2, 6) AS ref_path_length, 1.0::DOUBLE AS ref_headland_turns, round((2 * (w * h) / 5.0 + sqrt(w * w + h * h) + pi() * 2) / 0.75, 6) AS ref_row_crossings FROM (SELECT p_partkey, p_retailprice / 10.0 AS w, p_size + 30.0 AS h FROM part)""")
-def analytic_references(spark, d):
-    w, h = F.col("p_retailprice") / 10.0, F.col("p_size") + 30.0
-    path = coverage.reference_length(w * h, F.lit(1), F.hypot(w, h), 5.0, 2.0)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("field_id"), F.round(path, 6).alias("ref_path_length"), F.lit(1.0).alias("ref_headland_turns"), F.round(path / 0.75, 6).alias("ref_row_crossings"))
-
 
 @query()
 def reeds_shepp_lengths(spark, d):
@@ -477,45 +424,6 @@ def coverage_runs(spark, d):
     return coverage.run_matrix(instances.repartition(spark.sparkContext.defaultParallelism), coverage.standard_configs(), vehicles).drop("planning_s")
 
 
-@query("SELECT count(*) AS n_entries, 0::BIGINT AS n_altered, 0::BIGINT AS n_broken FROM nation")
-def log_verification(spark, d):
-    """A log of the nations, chained and verified again."""
-    import json
-
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 at any scale
-    log = [(e["index"], json.dumps(e["payload"]), e["prev_hash"], e["entry_hash"]) for e in splits.chain([r.asDict() for r in rows])]
-    return splits.verify_chain(spark.createDataFrame(log, "index long, payload string, prev_hash string, entry_hash string"))
-
-
-@query()
-def recommender_cross_validation(spark, d):
-    """Predicted regrets at all preferences, from the field's shape, the vehicle and the return flag, folds by field."""
-    from ..operators import recommender
-
-    runs = _runs(spark, d)
-    found = _regrets(spark, d).groupBy("field_id", "instance_id", "config_id", "vehicle_index", "applicable")
-    outputs = [f"e{k + 1}" for k in range(len(regret.grid()))]
-    r = found.pivot("preference", list(range(len(outputs)))).agg(F.first("regret"))
-    r = r.toDF(*r.columns[:5], *outputs).join(splits.grouped_folds(runs), "field_id")
-    shape = coverage.features(_notched(spark, d)).withColumn("field_id", F.col("field_id").cast("string"))
-    flag = F.split_part("instance_id", F.lit(":"), F.lit(2))
-    r = r.join(shape, "field_id").withColumn("flag", F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0)).withColumn("vehicle", F.col("vehicle_index").cast("double"))
-    return recommender.cross_predict(r, [*shape.columns[1:], "vehicle", "flag"], outputs)
-
-
-@query()
-def recommender_test(spark, d):
-    """The single best configuration's loss less half of a random applicable one's, by field, under sign flips."""
-    r = _regrets(spark, d)
-    best = regret.single_best(regret.field_losses(r)).select("config_id")
-    ours = regret.field_losses(r).join(F.broadcast(best), "config_id").select("field_id", F.col("loss").alias("ours"))  # one row
-    random = regret.random_baselines(r).where("random_applicable IS NOT NULL").withColumn("field_id", F.split_part("instance_id", F.lit(":"), F.lit(1)))
-    random = random.groupBy("field_id", "instance_id").agg(F.avg("random_applicable").alias("x")).groupBy("field_id").agg(F.avg("x").alias("random"))
-    found = ours.join(random, "field_id").select("field_id", (F.col("ours") - 0.5 * F.col("random")).alias("difference")).orderBy("field_id")
-    values = [x.difference for x in found.select("difference").collect()]  # one number a field, as the seeded test needs
-    return spark.createDataFrame([(len(values), sum(values) / max(1, len(values)), splits.sign_flip_p(values) if values else 1.0)], "n_fields long, mean_difference double, p double")
-
-
 @query()
 def evolution_ledger(spark, d):
     """A few fixed candidates against a small pool; the ledger of an evolution is a replay of its seeds."""

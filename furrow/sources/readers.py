@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,3 +194,61 @@ def crs_fault(x_low: Column, x_high: Column, y_low: Column, y_high: Column, geog
     x, y = F.greatest(F.abs(x_low), F.abs(x_high)), F.greatest(F.abs(y_low), F.abs(y_high))
     degrees = (x <= DEGREES[0]) & (y <= DEGREES[1])
     return F.when(geographic & (x > LEAST_EASTING), F.lit("metres declared as degrees")).when(~geographic & degrees, F.lit("degrees declared as metres"))
+
+
+def license_of(field_id: Column) -> Column:
+    """The licence that a field id's prefix gives."""
+    out = F.lit(UNKNOWN[1])
+    for prefix, (_, license, _) in PREFIXES.items():
+        out = F.when(F.upper(F.substring(field_id, 1, 2)) == prefix, license).otherwise(out)
+    return out
+
+
+def license_census(fields: DataFrame) -> DataFrame:
+    """For each licence of ``fields(license, reason)``: fields, those fit for analysis and for redistribution, quarantined ones,
+    and whether it rules commerce out."""
+    fit = F.col("reason").isNull()
+    count = lambda c: F.sum(c.cast("long"))
+    return fields.groupBy("license").agg(
+        F.count("*").alias("n_fields"), count(fit & F.col("license").isin(*FOR_ANALYSIS)).alias("n_for_analysis"), count(fit & F.col("license").isin(*FOR_REDISTRIBUTION)).alias("n_for_redistribution"),
+        count(~fit).alias("n_quarantined"), F.first(F.col("license") == "non-commercial").alias("non_commercial"),
+    )
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(index, payload json, prev_hash, entry_hash)`` of a hash-chained log; a missing file is an empty log, blank lines are
+    skipped, a broken line is an error."""
+    schema = "index long, payload string, prev_hash string, entry_hash string"
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    value = F.try_parse_json("value")
+    broken = F.raise_error(F.concat(F.lit("a broken line: "), "value"))
+    rows = lines.where(F.trim("value") != "").select(F.when(value.isNull(), broken).otherwise(F.col("value")).alias("value"))
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    return rows.select(field("index").cast("long").alias("index"), field("payload").alias("payload"), field("prev_hash").alias("prev_hash"), field("entry_hash").alias("entry_hash"))
+
+
+def read_configs(path: str) -> list:
+    """The configurations of a JSON list of objects with a reason and an algorithm for each slot, as :class:`Config`; a missing
+    reason, slot or name that the catalogue lacks is an error, as is a configuration that is there twice."""
+    from ..plans.coverage import CATALOGUE, Config
+
+    out: list[Config] = []
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)
+    for place, entry in enumerate(entries):
+        if not str(entry.get("reason") or "").strip():
+            raise ValueError(f"configuration {place} has no reason")
+        slots = {}
+        for stage, known in CATALOGUE.items():
+            if entry.get(stage) not in known:
+                raise ValueError(f"configuration {place} has no known {stage}")
+            slots[stage] = entry[stage]
+        out.append(Config(**slots, params=dict(entry.get("params") or {})))
+    if len({c.config_id for c in out}) != len(out):
+        raise ValueError("a configuration is there twice")
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBJECTIVES = ("path_length", "headland_turns", "row_crossings")
@@ -46,3 +46,34 @@ def union_sparse(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.select(*sorted(out.columns))
+
+
+def selected(runs: DataFrame, fields: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the runs of ``fields(field_id)`` alone; a column or a field that the matrix lacks is an error.
+
+    The semi join keeps rows of other fields from being read further than the scan; where ``fields`` is small it is
+    broadcast and its names are pushed to the scan as a runtime filter.
+    """
+    if missing := sorted({"field_id", *columns} - set(runs.columns)):
+        raise ValueError(f"the matrix lacks {missing}")
+    asked = fields.select("field_id").distinct()
+    lost = asked.join(runs.select("field_id").distinct(), "field_id", "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"the matrix lacks fields such as {sorted(r.field_id for r in lost)}")
+    return runs.join(asked, "field_id", "left_semi").select(*columns)
+
+
+def read_selected(spark: SparkSession, path: str, field_ids: list[str], columns: list[str]) -> DataFrame:
+    """:func:`selected` of a written matrix for a list of fields, which goes to the scan as a pushed predicate; a row of
+    another field is an error, so a holdout can't leak."""
+    if not field_ids:
+        raise ValueError("no field was asked for")
+    runs = spark.read.parquet(path)
+    if missing := sorted({"field_id", *columns} - set(runs.columns)):
+        raise ValueError(f"the matrix lacks {missing}")
+    allowed = F.col("field_id").isin(*sorted(set(field_ids)))
+    rows = runs.select(*dict.fromkeys(["field_id", *columns])).where(allowed)
+    found = {r.field_id for r in rows.select("field_id").distinct().collect()}  # at most those asked for
+    if lost := sorted(set(field_ids) - found):
+        raise ValueError(f"the matrix lacks fields {lost}")
+    return rows.where(F.when(allowed, F.lit(True)).otherwise(F.raise_error(F.lit("a field that was not asked for")).cast("boolean"))).select(*columns)
