@@ -20,13 +20,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold, by a model of the documents' own labels."""
+    """Documents whose score is below the threshold, by a model of the documents' own labels.
+
+    A null or empty text scores as one without features and stays; rows with a null id stay or go by their texts; each
+    of repeated rows is judged, an empty table stays empty. Whole texts count, however long; extra columns are dropped.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs.select(COLUMNS), model)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is accepted; texts without letters go."""
+    """Documents whose language is accepted; null texts and texts without letters go.
+
+    Each of repeated rows is judged by its own text, null ids and null languages don't matter to that; of an empty table
+    nothing stays, as without a learnt language none is accepted. Extra columns are dropped.
+    """
     return langid.keep_accepted(docs.select(COLUMNS), langid.train(docs))
 
 
@@ -58,7 +66,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, decoded again as a check on the round trip."""
+    """The ids of every text, decoded again as a check on the round trip.
+
+    A null text counts as empty and has no ids; null ids stay null, each of repeated rows is returned, an empty table gives
+    no rows; texts are encoded whole, and other columns are not read.
+    """
     path, pattern = vocabulary()
     coded = bpe.encode(docs, path, pattern, decoded=True)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
