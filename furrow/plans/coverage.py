@@ -316,25 +316,27 @@ def _shape(rings: list[geo.Ring]) -> dict[str, float]:
     return {"field": abs(geo.signed_area(rings[0])), "holes": holes, "area": abs(geo.signed_area(rings[0])) - holes, "hull": abs(geo.signed_area(full)), "diameter": float(max(np.hypot(*(full - p).T).max() for p in full))}
 
 
+def feature_values(rings: list[geo.Ring], direction: float | None, spacing: float | None, width: float, radius: float) -> dict[str, float | None]:
+    """The twelve features of one field with holes as obstacles; those of rows are None where there are none."""
+    shape = _shape(rings)
+    long, wide, _ = geo.smallest_rectangle(rings[0])
+    angle = density = ratio = None
+    if spacing is not None and not math.isnan(spacing):
+        off = abs(direction - geo.principal_angle(rings[0])) % math.pi
+        angle, density, ratio = min(off, math.pi - off), math.sqrt(shape["area"]) / spacing, spacing / width
+    return dict(zip(INSTANCE_FEATURES, (
+        shape["area"], sum(map(geo.perimeter, rings)) / math.sqrt(shape["area"]), 1 - shape["area"] / shape["hull"], long / wide if wide > 1e-12 else 1.0,
+        float(geo.reflex_corners(rings[0], rings[1:])), float(len(rings) - 1), shape["holes"] / shape["field"], angle, density, ratio, radius / width, float(narrow_swaths(rings[0], width)),
+    )))
+
+
 def instance_features(instances: DataFrame) -> DataFrame:
     """The twelve features of ``instances(instance_id, wkt, row_direction, row_spacing, width, radius)``; the holes of a field
     are its obstacles. The three features of rows are null where there are none."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                rings = _rings(r.wkt)
-                shape = _shape(rings)
-                long, wide, _ = geo.smallest_rectangle(rings[0])
-                angle = density = ratio = None
-                if r.row_spacing is not None and not math.isnan(r.row_spacing):
-                    off = abs(r.row_direction - geo.principal_angle(rings[0])) % math.pi
-                    angle, density, ratio = min(off, math.pi - off), math.sqrt(shape["area"]) / r.row_spacing, r.row_spacing / r.width
-                out.append((
-                    r.instance_id, shape["area"], sum(map(geo.perimeter, rings)) / math.sqrt(shape["area"]), 1 - shape["area"] / shape["hull"], long / wide if wide > 1e-12 else 1.0,
-                    float(geo.reflex_corners(rings[0], rings[1:])), float(len(rings) - 1), shape["holes"] / shape["field"], angle, density, ratio, r.radius / r.width, float(narrow_swaths(rings[0], r.width)),
-                ))
+            out = [(r.instance_id, *feature_values(_rings(r.wkt), r.row_direction, r.row_spacing, r.width, r.radius).values()) for r in pdf.itertuples(index=False)]
             yield pd.DataFrame(out, columns=["instance_id", *INSTANCE_FEATURES]).astype({c: float for c in INSTANCE_FEATURES})
 
     columns = ("wkt", "row_direction", "row_spacing", "width", "radius")

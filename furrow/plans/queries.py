@@ -422,19 +422,3 @@ def coverage_runs(spark, d):
     instances = fields.select(F.concat_ws(":", "field_id", F.col("vehicle_index").cast("string")).alias("instance_id"), "wkt", "vehicle_index", F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
     vehicles = [coverage.Vehicle(5.0, 2.0, 2.0), coverage.Vehicle(5.0, 2.0, 2.5, can_reverse=True)]
     return coverage.run_matrix(instances.repartition(spark.sparkContext.defaultParallelism), coverage.standard_configs(), vehicles).drop("planning_s")
-
-
-@query()
-def evolution_ledger(spark, d):
-    """A few fixed candidates against a small pool; the ledger of an evolution is a replay of its seeds."""
-    import json
-
-    import numpy as np
-
-    from . import evolution
-
-    sources = ("def f(p):\n    return 0.0\n", "def f(p):\n    return 0.1 * p['elongation']\n", "def f(p):\n    return 9.0\n", "import os\n")
-    pool = {"a": np.array([5.0, 5.0, 5.0]), "b": np.array([4.0, 6.0, 5.0])}
-    points = lambda f, i: pool[i] - f({"elongation": 2.0})
-    _, log = evolution.evolve(pool, points, lambda r, k: sources[int(r.integers(0, len(sources)))], 6, np.array([10.0, 10.0, 10.0]), [{"elongation": 1.0}, {"elongation": 3.0}])
-    return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")

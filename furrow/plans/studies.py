@@ -288,3 +288,69 @@ def record_agreement(spark, d):
     sizes = pareto.front_sizes(_runs(spark, d))
     of = lambda s: s.groupBy("field_id").agg(F.count("*").alias("n"), F.count("front_size").alias("f"), F.median("front_size").alias("m"))
     return stats.agreement(of(sizes), of(sizes.where("NOT (CAST(field_id AS bigint) % 10 = 3 AND vehicle_index = 1)")), "field_id", ["n", "f", "m"])
+
+
+@query()
+def evolution_ledger(spark, d):
+    """Swath angles proposed over ten rounds, planned on every supplier's field, against two configurations' points.
+
+    A round is one job over the fields; the driver holds a few points a field. The ledger is a replay of its seeds."""
+    import numpy as np
+
+    from . import evolution
+
+    sources = (
+        "def f(p):\n    return 0.0\n", "def f(p):\n    return min(0.3, 0.1 * p.get('elongation', 1.0))\n", "def f(p):\n    return math.pi / 2 if p.get('convexity_deficiency', 0.0) > 0.2 else 0.0\n",
+        "def f(p):\n    return 9.0\n", "import os\n", "def f(p):\n    return p['area_m2'] / 1e9\n",
+    )
+    vehicle, rows = coverage.Vehicle(5.0, 2.0, 2.0), coverage.Rows(0.3, 0.75)
+    fields = _notched(spark, d).repartition(spark.sparkContext.defaultParallelism).cache()
+    reference = np.array([REFERENCE[k] for k in REFERENCE])
+    names = ("path_length", "headland_turns", "row_crossings")
+
+    def planned(angles) -> dict:
+        """Each field's point under the angle that ``angles(rings)`` gives, or None where the plan fails."""
+
+        def run(batches):
+            from ..functions import geometry as geo
+
+            for pdf in batches:
+                out = []
+                for i, wkt in zip(pdf["field_id"], pdf["wkt"]):
+                    try:
+                        rings = geo.parse_polygon(wkt)
+                        found = coverage.plan(rings, vehicle, coverage.Config(swath="fixed_angle", params={"headland_width": 8.0, "angle": angles(rings)}), rows)
+                        out.append((i, *(found[k] for k in names)) if found["status"] == "ok" else (i, None, None, None))
+                    except Exception:  # noqa: BLE001  a candidate that fails on a field has no point there
+                        out.append((i, None, None, None))
+                yield pd.DataFrame(out, columns=["field_id", *names]).astype({k: float for k in names})
+
+        rows_ = fields.mapInPandas(run, "field_id long, path_length double, headland_turns double, row_crossings double").collect()
+        return {str(r.field_id): None if r.path_length is None or r.path_length != r.path_length else np.array([r.path_length, r.headland_turns, r.row_crossings]) for r in rows_}
+
+    def offset_angles(source):
+        def angles(rings):
+            from ..functions import geometry as geo
+
+            f = evolution.compile_heuristic(source)
+            return geo.principal_angle(rings[0]) + f(coverage.feature_values(rings, rows.direction, rows.spacing, vehicle.width, vehicle.radius))
+
+        return angles
+
+    base = [planned(lambda rings: 0.0), planned(lambda rings: 0.7)]
+    pool = {k: np.array([p[k] for p in base if p[k] is not None] or [reference]) for k in sorted(base[0])}
+    current: dict = {}
+
+    def propose(r, round_):
+        current["source"] = evolution.drawn(sources)(r, round_)
+        return current["source"]
+
+    square = [np.array([[0.0, 0.0], [90.0, 0.0], [90.0, 40.0], [0.0, 40.0]])]
+    features = lambda rings, direction: coverage.feature_values(rings, direction, rows.spacing, vehicle.width, vehicle.radius)
+    probe = features(square, 0.3)
+    _, log = evolution.evolve(
+        pool, None, propose, 10, reference, [probe], evaluate_all=lambda f: planned(offset_angles(current["source"])), reviewers=evolution.SWATH_REVIEWERS,
+        gate=lambda f, r: evolution.invariance_gate(f, features, square, 0.3, r),
+    )
+    fields.unpersist()
+    return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")
