@@ -354,3 +354,15 @@ def evolution_ledger(spark, d):
     )
     fields.unpersist()
     return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")
+
+
+@query("""WITH f AS (SELECT s_suppkey AS k, 70.0 + abs(s_acctbal) % 20 AS w, 18.0 + s_suppkey % 20 AS h FROM supplier), m AS (SELECT *, w - 16 AS len, h - 16 AS span, greatest(1, ceil((h - 16) / 5.0)) AS n FROM f)
+SELECT k::VARCHAR AS instance_id, 'ok' AS runstatus, round(n * len, 6) AS work_m, round(len * greatest(span, 5.0) / (w * h), 6) AS coverage_ratio_field, round(len * (n * 5.0 - greatest(span, 5.0)) / (w * h), 6) + 0.0 AS overlap_ratio, (n - 1)::DOUBLE AS headland_turn_count, n::DOUBLE AS swath_count FROM m""")
+def validated_plans(spark, d):
+    """The first configuration on a rectangle for each supplier, planned and checked by exact areas."""
+    from . import validate
+
+    w, h = 70.0 + F.abs(F.col("s_acctbal")) % 20, 18.0 + F.col("s_suppkey") % 20
+    fields = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("instance_id"), F.format_string("POLYGON ((0 0, %s 0, %s %s, 0 %s, 0 0))", w, w, h, h).alias("wkt"), F.lit(0).alias("vehicle_index"), F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
+    runs = validate.validated_runs(fields.repartition(2 * spark.sparkContext.defaultParallelism), coverage.standard_configs()[:1], [coverage.Vehicle(5.0, 2.0, 2.0)])
+    return runs.select("instance_id", "runstatus", *((F.round(c, 6) + 0.0).alias(c) for c in ("work_m", "coverage_ratio_field", "overlap_ratio")), "headland_turn_count", "swath_count")

@@ -6,9 +6,12 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from .coverage import Rows, Segment, Vehicle
+from .coverage import Config, Inapplicable, Rows, Segment, Vehicle, plan
 
 #: Fixed values: (id, unit, direction, role, change with the scale, name in papers) of the metrics.
 METRICS = (
@@ -150,3 +153,43 @@ def main_area(rings: list[geo.Ring], headland: float, lines: int = 2000) -> floa
 def zero_radius_length(swaths: list) -> float:
     """Length with turns on the spot: the swaths and the straight links between them."""
     return sum(math.dist(*s) for s in swaths) + sum(math.dist(a[1], b[0]) for a, b in zip(swaths, swaths[1:]))
+
+
+_CHECKED = ("coverage_ratio_field", "overlap_ratio", "headland_turn_count", "swath_count", "path_length", "row_crossings")
+
+
+def validated_runs(instances: DataFrame, configs: list[Config], vehicles: list[Vehicle], threshold: float = 0.0) -> DataFrame:
+    """``coverage.run_matrix`` of ``instances(instance_id, wkt, vehicle_index, row_direction, row_spacing)`` with every path
+    checked by :func:`validate`, whose verdict is the run's status; objectives and metrics are null unless it is ok.
+
+    A refusal is ``not_applicable`` where the configuration has no headland, else keeps its named reason; an exception is
+    a crash. An instance's holes are its obstacles.
+    """
+    names = instances.sparkSession.createDataFrame([(k, c.config_id) for k, c in enumerate(configs)], "place int, config_id string")
+    grid = instances.crossJoin(F.broadcast(names))  # a list of settings
+    columns = ["instance_id", "config_id", "vehicle_index", "runstatus", "failure_reason", "work_m", *_CHECKED]
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                config, vehicle = configs[r.place], vehicles[r.vehicle_index]
+                row: dict = dict.fromkeys(columns) | {"instance_id": r.instance_id, "config_id": r.config_id, "vehicle_index": r.vehicle_index, "runstatus": "crash"}
+                try:
+                    rings = geo.parse_polygon(r.wkt)
+                    rows = None if r.row_spacing is None or math.isnan(r.row_spacing) else Rows(r.row_direction, r.row_spacing)
+                    planned = plan(rings, vehicle, config, rows)
+                    found = validate(Problem(rings[0], rings[1:], rows=rows), vehicle, planned["segments"], threshold=threshold, headland=float(config.params.get("headland_width", 0.0)))
+                    row |= {"runstatus": found.status, "failure_reason": found.reason}
+                    if found.status == "ok":
+                        row |= {"work_m": planned["work_m"]} | {k: found.metrics[k] for k in _CHECKED}
+                    elif config.headland == "no_headland":
+                        row |= {"runstatus": "not_applicable"}
+                except Inapplicable as e:
+                    row |= {"runstatus": "not_applicable", "failure_reason": str(e)}
+                except Exception as e:  # noqa: BLE001  failures are rows
+                    row["failure_reason"] = f"{type(e).__name__}: {e}"
+                out.append(row)
+            yield pd.DataFrame(out, columns=columns).astype({k: float for k in ("work_m", *_CHECKED)})
+
+    return grid.mapInPandas(run, "instance_id string, config_id string, vehicle_index long, runstatus string, failure_reason string, " + ", ".join(f"{k} double" for k in ("work_m", *_CHECKED)))
