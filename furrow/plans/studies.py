@@ -259,7 +259,7 @@ def remaining_runs(spark, d):
     return readers.remaining(runs, done).select("instance_id", "config_id")
 
 
-@query("""WITH x AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal - s_acctbal) ** 2 + (c_custkey % 100 - s_suppkey % 100) ** 2) AS off FROM customer JOIN supplier ON c_nationkey = s_nationkey)
+@query("""WITH x AS (SELECT c_custkey, s_suppkey, sqrt((c_acctbal - s_acctbal) ** 2 + (c_custkey % 100 - s_suppkey % 100) ** 2) AS off FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey)
 SELECT c_custkey AS segment_id, s_suppkey AS cell, round(off, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY off, s_suppkey) AS place FROM x) WHERE place = 1""")
 def nearest_cells(spark, d):
     """Customers as work segments' middles, suppliers of their nation as the centres of a field's cells."""
