@@ -61,7 +61,7 @@ _U, _D = {"decomposition": "no_decomposition", "headland": "uniform_headland", "
 
 
 def standard_configs() -> list[Config]:
-    """The thirteen frozen configurations."""
+    """The thirteen frozen configurations."""
     make = lambda swath, params=None, **slots: Config(**{**_U, **slots, "swath": swath, "params": {**_D, **(params or {})}})
     return [
         make("min_width"), make("principal_axis"), make("longest_edge"), make("fixed_angle", {"angle": 0.0}), make("fixed_angle", {"angle": math.pi / 2}),

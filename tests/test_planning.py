@@ -13,6 +13,7 @@ from furrow.plans import coverage, evolution
 FIELD = geo.ring([(0, 0), (100, 0), (100, 50), (0, 50)])
 
 
+# fixed values: radii, distances apart and lengths of half turns
 @pytest.mark.parametrize("radius, shift, length", [(2, 5, 7.283185307179587), (3, 8, 11.42477796076938), (1.5, 4, 5.712388980384690), (3, 6, 9.42477796076938), (1, 0, 7.330382858376184), (1, 1, 6.032529644843455), (1, 2, math.pi)])
 def test_half_turns(spark, radius, shift, length):
     assert kin.dubins((0, 0, 0), (0, shift, math.pi), radius)[0].length * radius == pytest.approx(length, abs=1e-9)
