@@ -355,18 +355,36 @@ def _nodes(spark, d) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("problem_id"), F.concat(F.lit("n"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("node_id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 1000).cast("double").alias("y"), (F.col("c_custkey") % 7 + 1).cast("double").alias("demand"))
 
 
-@query()
+_NEAREST = "WITH RECURSIVE nodes AS (" + _NODES + """), first AS (SELECT problem_id, min(node_id) AS node_id, count(*) AS n FROM nodes GROUP BY ALL),
+walk AS (SELECT f.problem_id, 0::BIGINT AS seq, n.node_id, n.x, n.y, [n.node_id] AS seen FROM first f JOIN nodes n USING (problem_id, node_id) UNION ALL
+ SELECT problem_id, seq, node_id, x, y, seen FROM (SELECT w.problem_id, w.seq + 1 AS seq, n.node_id, n.x, n.y, list_append(w.seen, n.node_id) AS seen, row_number() OVER (PARTITION BY w.problem_id ORDER BY sqrt((n.x - w.x) ** 2 + (n.y - w.y) ** 2), n.node_id) AS place
+  FROM walk w JOIN nodes n ON n.problem_id = w.problem_id AND NOT list_contains(w.seen, n.node_id)) WHERE place = 1)
+"""
+
+
+@query(_NEAREST + """SELECT problem_id, seq, node_id, round(sqrt((coalesce(lead(x) OVER w, first_value(x) OVER w) - x) ** 2 + (coalesce(lead(y) OVER w, first_value(y) OVER w) - y) ** 2), 6) AS leg FROM walk WINDOW w AS (PARTITION BY problem_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def nearest_neighbour_tours(spark, d):
     from ..operators import routing
 
-    return routing.nearest_neighbour_tours(_nodes(spark, d))
+    return routing.nearest_neighbour_tours(_nodes(spark, d)).withColumn("leg", F.round("leg", 6))
 
 
-@query()
+_ROUTES = "WITH RECURSIVE nodes AS (" + _NODES + """), depots AS (SELECT n.problem_id, n.node_id AS depot, n.x AS dx, n.y AS dy, f.n FROM nodes n JOIN (SELECT problem_id, min(node_id) AS node_id, count(*) AS n FROM nodes GROUP BY ALL) f USING (problem_id, node_id)),
+walk AS (SELECT problem_id, 0::BIGINT AS seq, 0::BIGINT AS route, depot, dx, dy, n, dx AS x, dy AS y, 0.0::DOUBLE AS load, [depot] AS seen, 0.0::DOUBLE AS leg, 0::BIGINT AS ended, 0.0::DOUBLE AS need FROM depots UNION ALL
+ SELECT problem_id, seq, route, depot, dx, dy, n, x, y, load, seen, leg, ended, need FROM (SELECT w.problem_id, w.seq + 1 AS seq, CASE WHEN m.node_id IS NULL THEN w.route + 1 ELSE w.route END AS route, w.depot, w.dx, w.dy, w.n, coalesce(m.x, w.dx) AS x, coalesce(m.y, w.dy) AS y,
+   CASE WHEN m.node_id IS NULL THEN 0.0 ELSE w.load + m.demand END AS load, CASE WHEN m.node_id IS NULL THEN w.seen ELSE list_append(w.seen, m.node_id) END AS seen, sqrt((coalesce(m.x, w.dx) - w.x) ** 2 + (coalesce(m.y, w.dy) - w.y) ** 2) AS leg,
+   CASE WHEN m.node_id IS NULL THEN w.route ELSE -1 END AS ended, coalesce(m.demand, 0.0) AS need, row_number() OVER (PARTITION BY w.problem_id ORDER BY sqrt((m.x - w.x) ** 2 + (m.y - w.y) ** 2), m.node_id) AS place
+  FROM walk w LEFT JOIN nodes m ON m.problem_id = w.problem_id AND NOT list_contains(w.seen, m.node_id) AND w.load + m.demand <= 20 WHERE len(w.seen) < w.n) WHERE place = 1),
+legs AS (SELECT problem_id, CASE WHEN ended >= 0 THEN ended ELSE route END AS route, leg, need, ended < 0 AS customer FROM walk WHERE seq > 0 UNION ALL
+ SELECT problem_id, route, sqrt((dx - x) ** 2 + (dy - y) ** 2), 0.0, false FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY seq DESC) AS back FROM walk) WHERE back = 1)
+"""
+
+
+@query(_ROUTES + "SELECT problem_id, route, count(*) FILTER (customer) AS n_customers, sum(need) AS load, round(sum(leg), 4) AS length FROM legs GROUP BY ALL HAVING count(*) FILTER (customer) > 0")
 def capacitated_routes(spark, d):
     from ..operators import routing
 
-    return routing.capacitated_routes(_nodes(spark, d), capacity=20.0)
+    return routing.capacitated_routes(_nodes(spark, d), capacity=20.0).withColumn("length", F.round("length", 4))
 
 
 _RECT = f"""WITH fields AS (SELECT p_partkey AS field_id, p_retailprice / 10.0 AS w, p_size + 30.0 AS h FROM part), main AS (SELECT *, w - 16.0 AS mw, h - 16.0 AS mh FROM fields WHERE w > 16 AND h > 16),
