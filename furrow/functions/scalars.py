@@ -111,3 +111,9 @@ def dubins_words(dx: Column, dy: Column, start: Column, end: Column, radius: Col
 
 def dubins_length(dx: Column, dy: Column, start: Column, end: Column, radius: Column) -> Column:
     return F.least(*dubins_words(dx, dy, start, end, radius).values())
+
+
+def objective_cost(value: Column, direction: Column) -> Column:
+    """An objective as a cost: a value to maximise changes its sign; a direction other than "minimize" or "maximize" is an error."""
+    other = F.raise_error(F.concat(F.lit("unknown direction "), direction)).cast("double")
+    return F.when(direction == "minimize", value).when(direction == "maximize", -value).otherwise(other)

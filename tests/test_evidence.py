@@ -85,3 +85,27 @@ def test_holdout_and_preflight(tmp_path):
         evidence.preflight(log, files, ["genesis", "pool_census"], "abc", "ab", "bc")
     with pytest.raises(ValueError, match="the log holds"):
         evidence.preflight(log, {}, ["genesis"], "abc", "ab", "c")
+
+
+def test_reports(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from furrow.functions import scalars
+    from furrow.operators import pools
+    from furrow.sources import sinks
+
+    d = matrix(spark, [("i", "a", "ok", None, (3.0, 2.0, 1.0)), ("i", "b", "ok", None, (4.0, 2.0, 1.0)), ("i", "c", "ok", None, (300.0, 0.0, 0.0)), ("i", "d", "timeout", None, None)])
+    sinks.write_front_figure(d, "i", str(tmp_path / "front"))
+    assert (tmp_path / "front.csv").read_text().splitlines()[1:] == ["a,3.0,2.0,1.0,true", "b,4.0,2.0,1.0,false", "c,300.0,0.0,0.0,true"]
+    assert (tmp_path / "front.svg").read_text().count("<circle") == 3
+    with pytest.raises(ValueError, match="no point"):
+        sinks.write_front_figure(d, "j", str(tmp_path / "none"))
+    sinks.write_crosstab(pools.crosstab(d), str(tmp_path / "tab"))
+    sinks.write_crosstab(pools.crosstab(d), str(tmp_path / "tab"))  # the same again
+    assert len(json.loads((tmp_path / "tab.json").read_text())) == 4 and len((tmp_path / "tab.md").read_text().splitlines()) == 6
+    with pytest.raises(FileExistsError):
+        sinks.write_crosstab(pools.crosstab(d.limit(1)), str(tmp_path / "tab"))
+    cost = lambda k: spark.range(1).select(scalars.objective_cost(F.lit(2.0), F.lit(k))).first()[0]
+    assert (cost("minimize"), cost("maximize")) == (2.0, -2.0)
+    with pytest.raises(Exception, match="direction"):
+        cost("x")
