@@ -23,6 +23,8 @@ from .spark import components, settle, whole_groups
 from .words import mix
 
 THRESHOLD, TABLES, WIDTH, CELL, BLOCK = 0.9, 48, 12, 2.0, 512
+#: Groups of at most so many vectors are compared many at a time.
+_SMALL = 64
 
 
 class Hashes:
@@ -67,13 +69,43 @@ def _unit(raw: list[bytes], dtype) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _linked(unit: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of ``left`` and ``right`` with at least the threshold's cosine."""
-    near = unit[left] @ unit[right].T >= threshold
-    if left is right:
-        near &= np.tri(len(left), k=-1, dtype=bool)
-    i, j = np.nonzero(near)
-    return left[i], right[j]
+def _linked(unit: np.ndarray, cuts: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with at least the threshold's cosine, in each group between two cuts.
+
+    Groups of one small size are one stack of matrix products; a larger one, or one of two blocks, is a product by itself.
+    """
+    first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    start, size = cuts[:-1], np.diff(cuts)
+    small = (low[start] == high[start]) & (size <= _SMALL)
+    for n in np.unique(size[small & (size > 1)]):
+        at = start[small & (size == n)][:, None] + np.arange(n)
+        x = unit[at]
+        g, i, j = np.nonzero((x @ x.transpose(0, 2, 1) >= threshold) & np.tri(n, k=-1, dtype=bool))
+        first.append(at[g, i])
+        second.append(at[g, j])
+    for a, n in zip(start[~small], size[~small]):
+        mine = block[a : a + n]
+        left, right = a + np.flatnonzero(mine == low[a]), a + np.flatnonzero(mine == high[a])
+        near = unit[left] @ unit[right].T >= threshold
+        if low[a] == high[a]:
+            near &= np.tri(len(left), k=-1, dtype=bool)
+        i, j = np.nonzero(near)
+        first.append(left[i])
+        second.append(right[j])
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _first_met(hashes: Hashes, unit: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share no bucket of a table before that of the bucket in which they were found."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    keys = hashes.keys(unit[used])
+    p, q = place[: len(i)], place[len(i) :]
+    new = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 15):
+        s = slice(at, at + (1 << 15))
+        mine = keys[p[s]]
+        new[s] = (mine == keys[q[s]]).argmax(1) == (mine == bucket[i[s], None]).argmax(1)
+    return new
 
 
 def _blocks(dtype, hashes: Hashes, threshold: float):
@@ -81,29 +113,16 @@ def _blocks(dtype, hashes: Hashes, threshold: float):
         for t, cuts in whole_groups(batches, ["bucket", "low", "high"]):
             node, copies, block, low, high, bucket = (t[c].to_numpy() for c in ("node", "copies", "block", "low", "high", "bucket"))
             raw = t["vector"].to_pylist()
+            lengths = np.array([len(r) for r in raw])
             first, second = [], []
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a < 2:
-                    continue
-                unit = _unit(raw[a:b], dtype)
-                if low[a] == high[a]:
-                    left = right = np.arange(b - a)
-                else:
-                    left, right = np.flatnonzero(block[a:b] == low[a]), np.flatnonzero(block[a:b] == high[a])
-                i, j = _linked(unit, left, right, threshold)
-                if not len(i):
-                    continue
-                used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
-                keys = hashes.keys(unit[used])
-                at = int(np.flatnonzero(keys[0] == bucket[a])[0])
-                p, q = place[: len(i)], place[len(i) :]
-                new = np.ones(len(i), bool)
-                for start in range(0, len(i), 1 << 16):
-                    s = slice(start, start + (1 << 16))
-                    new[s] = ~(keys[p[s], :at] == keys[q[s], :at]).any(1)
-                if new.any():
-                    first.append(a + i[new])
-                    second.append(a + j[new])
+            for length in np.unique(lengths):  # a bucket holds vectors of one dimension
+                k = np.flatnonzero(lengths == length)
+                unit = _unit([raw[x] for x in k], dtype)
+                i, j = _linked(unit, np.unique(np.searchsorted(k, cuts)), block[k], low[k], high[k], threshold)
+                if len(i):
+                    new = _first_met(hashes, unit, bucket[k], i, j)
+                    first.append(k[i[new]])
+                    second.append(k[j[new]])
             if not first:
                 continue
             i, j = np.concatenate(first), np.concatenate(second)

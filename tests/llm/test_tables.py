@@ -37,6 +37,17 @@ def test_near_vectors(spark, block):
     assert got == brute_vectors(rows)
 
 
+def test_large_groups_of_two_dimensions(spark):
+    """Groups on both sides of the size up to which groups are compared many at a time, in two dimensions."""
+    r = np.random.default_rng(6)
+    rows = []
+    for size, length in ((150, 16), (40, 9), (90, 9), (64, 16), (65, 16)):
+        centre = r.normal(size=length)
+        rows += [(len(rows) + k, (centre + 0.06 * r.normal(size=length)).tolist()) for k in range(size)]
+    got = sorted((x.id, x.n_links, x.component_id) for x in embed_dedup.near_vectors(vectors(spark, rows)).collect())
+    assert got == brute_vectors(rows)
+
+
 def test_recall_at_the_threshold():
     """Pairs at a cosine of 0.9 meet in a table, by the method's own parameters."""
     r = np.random.default_rng(8)
