@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import confirm, pareto, regret, splits, stats
+from ..operators import fields as field_tables
 from ..session import table
 from ..sources.runs import REFERENCE, runs_view
 from . import coverage
@@ -366,3 +367,64 @@ def validated_plans(spark, d):
     fields = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("instance_id"), F.format_string("POLYGON ((0 0, %s 0, %s %s, 0 %s, 0 0))", w, w, h, h).alias("wkt"), F.lit(0).alias("vehicle_index"), F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
     runs = validate.validated_runs(fields.repartition(2 * spark.sparkContext.defaultParallelism), coverage.standard_configs()[:1], [coverage.Vehicle(5.0, 2.0, 2.0)])
     return runs.select("instance_id", "runstatus", *((F.round(c, 6) + 0.0).alias(c) for c in ("work_m", "coverage_ratio_field", "overlap_ratio")), "headland_turn_count", "swath_count")
+
+
+def _box(x, y, w, h):
+    """WKT of a rectangle, by columns or numbers of its lower left corner and size."""
+    x, y, w, h = (F.lit(v) for v in (x, y, w, h))
+    return F.format_string("POLYGON ((%s %s, %s %s, %s %s, %s %s, %s %s))", x, y, x + w, y, x + w, y + h, x, y + h, x, y)
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, 60 + p_partkey % 40 AS w, 20 + p_size % 25 AS h, p_partkey % 3 AS kind FROM part),
+c AS (SELECT k, CASE kind WHEN 0 THEN [w * h] WHEN 1 THEN [10 * h, 75, 15 * (h - 12), (w - 25) * h] ELSE [w * h - 15 * 12] END AS a FROM f),
+n AS (SELECT k, a, unnest(range(1, len(a) + 1)) AS i FROM c)
+SELECT k::VARCHAR AS field_id, format('cell-{:04d}', i - 1) AS cell_id, a[i]::DOUBLE AS area FROM n""")
+def boustrophedon_cells(spark, d):
+    """The cells of a rectangle for each part: without an obstacle, with one inside, or with two that
+    overlap at its side, which leave one interval a section and so one cell."""
+    kind = F.col("p_partkey") % 3
+    obstacles = F.when(kind == 1, F.array(_box(10, 5, 15, 7))).when(kind == 2, F.array(_box(10, 0, 10, 12), _box(15, 0, 10, 12)))
+    wkt = _box(0, 0, 60 + F.col("p_partkey") % 40, 20 + F.col("p_size") % 25)
+    found = field_tables.decomposed(table(spark, d, "part").select(F.col("p_partkey").alias("field_id"), wkt.alias("wkt"), obstacles.alias("obstacles")))
+    return found.select("field_id", "cell_id", F.round("area", 6).alias("area"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, 10 + p_size AS w, 10 + p_partkey % 7 AS h FROM part)
+SELECT k::VARCHAR AS field_id, 0::BIGINT AS part, 1::BIGINT AS n_holes, (w * h - (w - 2) * (h - 2))::DOUBLE AS area FROM f UNION ALL SELECT k::VARCHAR, 1, 0, 7.0 FROM f""")
+def polygon_unions(spark, d):
+    """For each part the union of four bars of a frame and, apart from it, of two squares that overlap."""
+    w, h = 10 + F.col("p_size"), 10 + F.col("p_partkey") % 7
+    pieces = F.array(_box(0, 0, w, 1), _box(0, h - 1, w, 1), _box(0, 0, 1, h), _box(w - 1, 0, 1, h), _box(200, 0, 2, 2), _box(201, 1, 2, 2))
+    found = field_tables.united(table(spark, d, "part").select(F.col("p_partkey").alias("field_id"), pieces.alias("pieces")))
+    return found.select("field_id", "part", "n_holes", F.round("area", 6).alias("area"))
+
+
+def _metric_sql() -> str:
+    """The transverse projection of four corners in SQL, by the same published series, and the area between them."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    c = 2 * n**0.5 / (1 + n)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    x = " + ".join(["eta", *(f"{s!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, s in enumerate(series, 1))])
+    y = " + ".join(["xi", *(f"{s!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, s in enumerate(series, 1))])
+    return f"""WITH f AS (SELECT p_partkey AS k, (p_partkey * 37 % 3400)::DOUBLE / 10 - 169.97::DOUBLE AS lon, (p_partkey * 53 % 1400)::DOUBLE / 10 - 69.95::DOUBLE AS lat, p_partkey % 5 = 0 AS wrong FROM part),
+z AS (SELECT *, floor((lon + 180) / 6)::BIGINT + 1 AS zone FROM f),
+p AS (SELECT k, i, radians(lat + CASE WHEN i IN (0, 1) THEN -1 ELSE 1 END * 0.0001::DOUBLE) AS phi, radians(lon + CASE WHEN i IN (0, 3) THEN -1 ELSE 1 END * 0.0001::DOUBLE - (6 * zone - 183)) AS lam FROM z, (SELECT unnest(range(0, 4)) AS i) WHERE NOT wrong),
+t AS (SELECT *, sinh(atanh(sin(phi)) - {c!r} * atanh({c!r} * sin(phi))) AS t FROM p),
+e AS (SELECT k, i, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t),
+m AS (SELECT k, i, {a!r} * ({x}) AS x, {a!r} * ({y}) AS y FROM e),
+r AS (SELECT u.k, abs(sum((u.x - o.x) * (v.y - o.y) - (v.x - o.x) * (u.y - o.y))) / 2 AS area FROM m u JOIN m v ON v.k = u.k AND v.i = (u.i + 1) % 4 JOIN m o ON o.k = u.k AND o.i = 0 GROUP BY u.k)
+SELECT z.k::VARCHAR AS field_id, CASE WHEN NOT wrong THEN 'EPSG:' || (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone) END AS working_crs, round(area, 1) AS area, CASE WHEN wrong THEN 'coordinates lie outside system 32633' END AS reason FROM z LEFT JOIN r ON r.k = z.k"""
+
+
+@query(_metric_sql())
+def metric_fields(spark, d):
+    """A small field in degrees for each part, in metres; every fifth declares a system of metres and is refused."""
+    key = F.col("p_partkey")
+    lon, lat = (key * 37 % 3400).cast("double") / 10 - 169.97, (key * 53 % 1400).cast("double") / 10 - 69.95
+    corners = [F.format_string("%s %s", lon + i * F.lit(0.0001), lat + j * F.lit(0.0001)) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corners), F.lit("))"))
+    crs = F.when(key % 5 == 0, "EPSG:32633").otherwise("EPSG:4326")
+    found = field_tables.metric(table(spark, d, "part").select(key.alias("field_id"), wkt.alias("wkt"), crs.alias("source_crs")))
+    return found.select("field_id", "working_crs", F.round("area", 1).alias("area"), "reason")
