@@ -291,11 +291,55 @@ def record_agreement(spark, d):
     return stats.agreement(of(sizes), of(sizes.where("NOT (CAST(field_id AS bigint) % 10 = 3 AND vehicle_index = 1)")), "field_id", ["n", "f", "m"])
 
 
+_VEHICLE, _ROWS = coverage.Vehicle(5.0, 2.0, 2.0), coverage.Rows(0.3, 0.75)
+
+
+def _planned(fields: DataFrame, configure) -> dict:
+    """Each field's point under the configuration that ``configure(rings)`` gives, or None where the plan fails."""
+    import numpy as np
+
+    names = ("path_length", "headland_turns", "row_crossings")
+
+    def run(batches):
+        from ..functions import geometry as geo
+
+        for pdf in batches:
+            out = []
+            for i, wkt in zip(pdf["field_id"], pdf["wkt"]):
+                try:
+                    rings = geo.parse_polygon(wkt)
+                    found = coverage.plan(rings, _VEHICLE, configure(rings), _ROWS)
+                    out.append((i, *(found[k] for k in names)) if found["status"] == "ok" else (i, None, None, None))
+                except Exception:  # noqa: BLE001  a candidate that fails on a field has no point there
+                    out.append((i, None, None, None))
+            yield pd.DataFrame(out, columns=["field_id", *names]).astype({k: float for k in names})
+
+    found = fields.mapInPandas(run, "field_id long, path_length double, headland_turns double, row_crossings double").collect()
+    return {str(r.field_id): None if r.path_length is None or r.path_length != r.path_length else np.array([r.path_length, r.headland_turns, r.row_crossings]) for r in found}
+
+
+def _known_before(fields: DataFrame) -> dict:
+    """Each field's reference point, known before any plan."""
+    import numpy as np
+
+    given = fields.select(F.col("field_id").cast("string").alias("instance_id"), "wkt", F.lit(_ROWS.spacing).alias("row_spacing"), F.lit(_VEHICLE.width).alias("width"), F.lit(_VEHICLE.radius).alias("radius"))
+    return {r[0]: np.array(r[1:4]) for r in coverage.analytic_references(given).collect()}
+
+
+def _fixed_angle(angles):
+    return lambda rings: coverage.Config(swath="fixed_angle", params={"headland_width": 8.0, "angle": angles(rings)})
+
+
+def _ledger(spark, log: list) -> DataFrame:
+    return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")
+
+
 @query()
 def evolution_ledger(spark, d):
     """Swath angles proposed over ten rounds, planned on every supplier's field, against two configurations' points.
 
-    A round is one job over the fields; the driver holds a few points a field. The ledger is a replay of its seeds."""
+    A round is one job over the fields; the driver holds a few points a field, and gains
+    are measured from each field's own reference. The ledger is a replay of its seeds."""
     import numpy as np
 
     from . import evolution
@@ -303,31 +347,12 @@ def evolution_ledger(spark, d):
     sources = (
         "def f(p):\n    return 0.0\n", "def f(p):\n    return min(0.3, 0.1 * p.get('elongation', 1.0))\n", "def f(p):\n    return math.pi / 2 if p.get('convexity_deficiency', 0.0) > 0.2 else 0.0\n",
         "def f(p):\n    return 9.0\n", "import os\n", "def f(p):\n    return p['area_m2'] / 1e9\n",
+        "def f(p):\n    return p.get('row_angle_vs_principal', 0.0)\n", "def f(p):\n    return -p.get('row_angle_vs_principal', 0.0)\n",
     )
-    vehicle, rows = coverage.Vehicle(5.0, 2.0, 2.0), coverage.Rows(0.3, 0.75)
+    vehicle, rows = _VEHICLE, _ROWS
     fields = _notched(spark, d).repartition(spark.sparkContext.defaultParallelism).cache()
-    reference = np.array([REFERENCE[k] for k in REFERENCE])
-    names = ("path_length", "headland_turns", "row_crossings")
-
-    def planned(angles) -> dict:
-        """Each field's point under the angle that ``angles(rings)`` gives, or None where the plan fails."""
-
-        def run(batches):
-            from ..functions import geometry as geo
-
-            for pdf in batches:
-                out = []
-                for i, wkt in zip(pdf["field_id"], pdf["wkt"]):
-                    try:
-                        rings = geo.parse_polygon(wkt)
-                        found = coverage.plan(rings, vehicle, coverage.Config(swath="fixed_angle", params={"headland_width": 8.0, "angle": angles(rings)}), rows)
-                        out.append((i, *(found[k] for k in names)) if found["status"] == "ok" else (i, None, None, None))
-                    except Exception:  # noqa: BLE001  a candidate that fails on a field has no point there
-                        out.append((i, None, None, None))
-                yield pd.DataFrame(out, columns=["field_id", *names]).astype({k: float for k in names})
-
-        rows_ = fields.mapInPandas(run, "field_id long, path_length double, headland_turns double, row_crossings double").collect()
-        return {str(r.field_id): None if r.path_length is None or r.path_length != r.path_length else np.array([r.path_length, r.headland_turns, r.row_crossings]) for r in rows_}
+    reference = _known_before(fields)
+    planned = lambda angles: _planned(fields, _fixed_angle(angles))
 
     def offset_angles(source):
         def angles(rings):
@@ -339,7 +364,7 @@ def evolution_ledger(spark, d):
         return angles
 
     base = [planned(lambda rings: 0.0), planned(lambda rings: 0.7)]
-    pool = {k: np.array([p[k] for p in base if p[k] is not None] or [reference]) for k in sorted(base[0])}
+    pool = {k: np.array([p[k] for p in base if p[k] is not None] or [reference[k]]) for k in sorted(base[0])}
     current: dict = {}
 
     def propose(r, round_):
@@ -354,7 +379,54 @@ def evolution_ledger(spark, d):
         gate=lambda f, r: evolution.invariance_gate(f, features, square, 0.3, r),
     )
     fields.unpersist()
-    return spark.createDataFrame([(e["index"], json.dumps(e["payload"], sort_keys=True), e["entry_hash"]) for e in log], "index long, payload string, entry_hash string")
+    return _ledger(spark, log)
+
+
+def _route_inputs(rings):
+    """Ends of a field's swaths along its principal axis, its centre and that axis."""
+    from ..functions import geometry as geo
+
+    angle = geo.principal_angle(rings[0])
+    return geo.swaths(rings, angle, _VEHICLE.width, 8.0), tuple(geo.centroid(rings[0]).tolist()), geo.canonical(angle)
+
+
+@query()
+def route_evolution_ledger(spark, d):
+    """Orders of swaths proposed over eight rounds as scores of the next swath, planned on every supplier's field, against the
+    plan by turns. A round is one job over the fields; the ledger is a replay of its seeds."""
+    import numpy as np
+
+    from . import evolution
+
+    sources = (
+        "def f(s, c):\n    return c['distance_norm'] + 0.001 * c['axis_offset_norm']\n", "def f(s, c):\n    return -c['distance_norm'] - 0.001 * c['axis_offset_norm']\n",
+        "def f(s, c):\n    return c['distance_norm'] - 3.0 * c['axis_offset_norm'] * (s['visited_count'] == 0)\n", "def f(s, c):\n    return 1.0\n", "def f(s, c):\n    return 1 / c['axis_offset_norm']\n",
+    )
+    fields = _notched(spark, d).repartition(spark.sparkContext.defaultParallelism).cache()
+    reference = _known_before(fields)
+    base = [_planned(fields, lambda rings: coverage.Config(swath="principal_axis", params={"headland_width": 8.0}))]
+    pool = {k: np.array([p[k] for p in base if p[k] is not None] or [reference[k]]) for k in sorted(base[0])}
+    current: dict = {}
+
+    def propose(r, round_):
+        current["source"] = evolution.drawn(sources)(r, round_)
+        return current["source"]
+
+    def scored(source):
+        def configure(rings):
+            swaths, centre, axis = _route_inputs(rings)
+            order = evolution.order_by_score(evolution.compile_heuristic(source), swaths, centre, axis, _VEHICLE.width, _VEHICLE.radius)
+            return coverage.Config(swath="principal_axis", route="ranked_swath_order", params={"headland_width": 8.0} | {f"rank:{k}": float(i) for i, k in enumerate(order)})
+
+        return configure
+
+    probe = _route_inputs([np.array([[0.0, 0.0], [90.0, 0.0], [96.0, 43.0], [3.0, 52.0]])])
+    _, log = evolution.evolve(
+        pool, None, propose, 8, reference, [], evaluate_all=lambda f: _planned(fields, scored(current["source"])), reviewers=evolution.ROUTE_REVIEWERS, contract=evolution.route_contract,
+        gate=lambda f, r: evolution.route_invariance_gate(f, *probe, _VEHICLE.width, _VEHICLE.radius, r),
+    )
+    fields.unpersist()
+    return _ledger(spark, log)
 
 
 @query("""WITH f AS (SELECT s_suppkey AS k, 70.0 + abs(s_acctbal) % 20 AS w, 18.0 + s_suppkey % 20 AS h FROM supplier), m AS (SELECT *, w - 16 AS len, h - 16 AS span, greatest(1, ceil((h - 16) / 5.0)) AS n FROM f)

@@ -45,7 +45,7 @@ def test_forward_paths_are_not_shorter(spark):
     assert both.count() == 200 and both.where("length > forward + 1e-6").count() == 0
 
 
-@pytest.mark.parametrize("name", ["evolution_ledger", "recommender_test", "capacitated_routes", "nearest_neighbour_tours"])
+@pytest.mark.parametrize("name", ["evolution_ledger", "route_evolution_ledger", "recommender_test", "capacitated_routes", "nearest_neighbour_tours"])
 def test_reruns_agree(spark, name):
     f = entry.queries()[name]
     assert rows(f(spark, DATA).columns, f(spark, DATA).collect()) == rows(f(spark, DATA).columns, f(spark, DATA).collect())

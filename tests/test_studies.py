@@ -176,6 +176,27 @@ def test_route_scores():
     assert evolution.refuted([r(evolution.compile_heuristic("def f(s, c):\n    return 1 / c['axis_offset_norm']")) for r in evolution.ROUTE_REVIEWERS])
 
 
+def test_route_contract_and_motions():
+    r = np.random.default_rng(3)
+    ends = [((0.0, 5.0 * k), (50.0 + k, 5.0 * k)) for k in range(5)]
+    place = ((22.0, 9.0), (1.0, 0.0), 5.0, 2.0)
+    near = evolution.compile_heuristic("def f(s, c):\n    return c['distance_norm'] + 0.01 * c['axis_offset_norm']")
+    evolution.route_contract(near)
+    evolution.route_invariance_gate(near, ends, *place, r)
+    first = evolution.swath_scores(evolution.compile_heuristic("def f(s, c):\n    return c['axis_offset_norm']"), ends, [], *place)
+    assert first == {k: abs(5.0 * k - 9.0) / 5.0 for k in range(5)}  # without a sign
+    away = evolution.swath_scores(evolution.compile_heuristic("def f(s, c):\n    return c['distance_norm']"), ends, [1], *place)
+    assert away[2] == pytest.approx(np.hypot(52 - 51, 5) / 2.0)  # over the radius, from the far end to the far end
+    state = []
+    with pytest.raises(evolution.Refused, match="different"):
+        evolution.route_contract(lambda s, c: state.append(0) or float(len(state)))
+    with pytest.raises(evolution.Refused, match="place"):
+        evolution.route_invariance_gate(lambda s, c: c["distance_norm"] + round(c["axis_offset_norm"] * 1e17 % 7), ends, *place, r)
+    assert evolution.transfer_length(ends[:2], [0, 1], (0.0, 0.0)) == pytest.approx(np.hypot(1, 5))
+    with pytest.raises(ValueError):
+        evolution.transfer_length(ends, [0, 1, 1, 2, 3], (0.0, 0.0))
+
+
 def test_proposers():
     r = np.random.default_rng(0)
     with pytest.raises(ValueError, match="no client"):
