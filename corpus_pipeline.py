@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from furrow.llm import bpe, langid, minmax_dedup, mixing, toxicity
 from furrow.llm.queries import vocabulary
@@ -55,14 +54,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it. Rows are named by a hash of all their columns; of equal rows
-    the n-th takes the n-th of their numbers of copies."""
+    """Each document as many times as the mix takes it.
+
+    Rows are named by a hash of all their columns. Equal rows, such as many without an id and a text, are one row that is
+    taken as often as all of them; they are counted before they move, so none gathers them. Null texts and empty ones have no
+    words and are not taken, null sources are one source, an empty table gives no rows, extra columns are dropped.
+    """
     named = docs.select(F.xxhash64(*COLUMNS).alias("row"), *COLUMNS)
-    copies = mixing.mix(named.select(F.col("row").alias("doc_id"), "text", "source"))
-    copies = settle(copies.groupBy(F.col("doc_id").alias("row")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")))
-    numbered = named.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row")))
-    taken = numbered.join(copies, "row").withColumn("times", F.element_at("copies", F.col("nth")).cast("int"))
-    return taken.where("times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
+    mixed = mixing.mix(named.select(F.col("row").alias("doc_id"), "text", "source"))
+    told = settle(mixed.groupBy(F.col("doc_id").alias("row")).agg(F.count("*").alias("rows"), F.sum("copies").alias("times")).where("times > 0"))
+    once = named.join(told.where("rows = 1"), "row").select(*COLUMNS, "times")
+    equal = named.join(told.where("rows > 1"), "row").groupBy(*COLUMNS, "times").agg(F.count("*").alias("rows"))
+    # different rows of one hash would both have the sum, so each keeps to its own bound
+    equal = equal.select(*COLUMNS, F.least("times", F.col("rows") * mixing.MOST).alias("times"))
+    return once.unionByName(equal).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).drop("copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,16 +97,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
     A document is taken at most ``most`` times, one without words counts no words and is taken 0 times. Null
     texts have no words; null sources are one source, the last; null ids are ids like any other. Rows that repeat
-    an id are settled each. The choice hangs on ids, sizes and sources alone, so reruns agree on any cluster.
+    an id are settled each; equal ones are counted and numbered first, so that many of them, say without an id, are
+    spread over groups like others. The choice hangs on ids, sizes and sources alone, so reruns agree on any cluster.
     """
-    sized = settle(sizes(docs))
+    sized = sizes(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("equal"))
+    sized = settle(sized.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("equal").cast("int"))).alias("nth")))
     aims = settle(targets(sized, weights, most))
     kinds, largest = aims.agg(F.count("*"), F.max("n")).first()
     # a table of sources is broadcast only where it has been counted to be small
     joined = sized.join(F.broadcast(aims) if kinds <= 10_000 else aims, sized["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("rate", F.least(rate, F.lit(float(most)))).withColumn("base", F.floor("rate").cast("long"))
-    joined = joined.withColumn("mass", (F.col("rate") - F.col("base")) * F.col("size")).withColumn("salt", F.xxhash64("doc_id", "size", "source"))
+    joined = joined.withColumn("mass", (F.col("rate") - F.col("base")) * F.col("size")).withColumn("salt", F.xxhash64("doc_id", "size", "source", "nth"))
     fields = ["doc_id", "source", "n", "size", "source_size", "target", "base", "salt", "mass"]
     joined = joined.select(*fields)
     whole = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))

@@ -178,6 +178,21 @@ def test_mixing_is_fair(spark):
             assert abs(np.mean(part) - of[0].target / s) < 0.08
 
 
+def test_mixing_of_equal_rows(spark):
+    """A third of all rows are equal and have no id: each is a row of its own, in groups like the others."""
+    schema = "doc_id long, text string, source string"
+    rows = [(None, "a b c", "s")] * 3000 + [(k, "w " * (1 + k % 9), "st"[k % 2]) for k in range(6000)]
+    got = mixing.mix(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 9000 and sum(r.doc_id is None for r in got) == 3000
+    sizes = {r.source_size: r.target for r in got}
+    taken = {n: sum(r.taken for r in got if r.source_size == n) for n in sizes}
+    assert all(abs(taken[n] - t) <= 9 for n, t in sizes.items())
+    assert all(0 <= r.copies <= 3 for r in got)
+    again = mixing.mix(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_mixing_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
