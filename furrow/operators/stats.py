@@ -42,7 +42,8 @@ def wilcoxon_greater(values: DataFrame, column: str, null_value: float, pratt: b
     """One row: n, zero differences, the sum of positive ranks and its normal score, greater than ``null_value``.
 
     Zero differences are dropped, or with ``pratt`` ranked with the others and left out of the sums. Ties correct
-    the variance; there is no continuity correction. With zero differences only, the score is null (p is 1).
+    the variance; there is no continuity correction. With zero differences only, the score is null (p is 1). Sums are
+    of whole numbers, exact up to 38 digits.
     """
     d = values.select((F.col(column).cast("double") - F.lit(null_value)).alias("d")).where("d IS NOT NULL AND NOT isnan(d)")
     by = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
@@ -51,17 +52,19 @@ def wilcoxon_greater(values: DataFrame, column: str, null_value: float, pratt: b
     if not pratt:
         by = by.withColumn("t", F.when(F.col("size") > 0, F.col("t")).otherwise(0))
     upto = F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    by = by.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    whole = lambda c: c.cast("decimal(20,0)")  # noqa: E731  cubes of counts outgrow a long
+    t = whole(F.col("t"))
+    by = by.withColumn("twice", whole(2 * upto - (F.col("t") - 1)))  # twice the rank
     live = F.col("size") > 0
     one = by.agg(
         F.sum(F.when(live, F.col("t")).otherwise(0)).alias("n"), F.max("n0").alias("n_zero"),
-        F.sum(F.when(live, F.col("up") * F.col("rank")).otherwise(0.0)).alias("statistic"),
-        F.sum(F.when(live, F.col("t") * F.col("t") * F.col("t") - F.col("t")).otherwise(0)).alias("ties"),
+        (F.sum(F.when(live, whole(F.col("up")) * F.col("twice")).otherwise(0)).cast("double") / 2).alias("statistic"),
+        F.sum(F.when(live, t * t * t - t).otherwise(0)).alias("ties"),
     )
-    z0 = F.col("n_zero") if pratt else F.lit(0)
-    m = F.col("n") + z0
-    mean = (m * (m + 1) - z0 * (z0 + 1)) / 4
-    variance = (m * (m + 1) * (2 * m + 1) - z0 * (z0 + 1) * (2 * z0 + 1)) / 24 - F.col("ties") / 48
+    z0 = whole(F.col("n_zero") if pratt else F.lit(0))
+    m = whole(F.col("n")) + z0
+    mean = (m * (m + 1) - z0 * (z0 + 1)).cast("double") / 4
+    variance = (m * (m + 1) * (2 * m + 1) - z0 * (z0 + 1) * (2 * z0 + 1)).cast("double") / 24 - F.col("ties").cast("double") / 48
     z = F.when((F.col("n") > 0) & (variance > 0), (F.col("statistic") - mean) / F.sqrt(variance))
     return one.select((F.col("n") + F.col("n_zero")).alias("n"), "n_zero", "statistic", F.round(z, 9).alias("z"))
 

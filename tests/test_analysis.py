@@ -1,5 +1,6 @@
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -111,6 +112,25 @@ def test_rank_statistics(spark):
     assert rho["a"] == pytest.approx(math.sqrt(3) / 2) and rho["b"] == 0.0 and rho["c"] is None
 
 
+def large_signed_rank(spark, pratt):
+    """The record of three million differences -1, 0, 1, 2, 1, as given and by whole numbers in Python."""
+    n = 3_000_000
+    d = spark.range(n).select((F.array(*(F.lit(float(v)) for v in (-1, 0, 1, 2, 1)))[(F.col("id") % 5).cast("int")]).alias("x"))
+    fifth = n // 5
+    z0 = fifth if pratt else 0
+    ones = 2 * z0 + 3 * fifth + 1  # twice the rank of a difference of size 1
+    twos = 2 * z0 + 7 * fifth + 1
+    statistic = Fraction(2 * fifth * ones + fifth * twos, 2)
+    m = 4 * fifth + z0
+    var = Fraction(m * (m + 1) * (2 * m + 1) - z0 * (z0 + 1) * (2 * z0 + 1), 24) - Fraction((3 * fifth) ** 3 - 3 * fifth + fifth**3 - fifth, 48)
+    return stats.wilcoxon_greater(d, "x", 0.0, pratt).first(), (n, fifth, float(statistic), float(statistic - Fraction(m * (m + 1) - z0 * (z0 + 1), 4)) / math.sqrt(var))
+
+
+def test_signed_rank_of_millions(spark):
+    got, want = large_signed_rank(spark, False)
+    assert (got.n, got.n_zero, got.statistic) == want[:3] and got.z == pytest.approx(want[3], abs=1e-8)
+
+
 def test_sign_flip():
     assert splits.sign_flip_p([0.1, -0.2, 0.05, -0.3, -0.15], 500, 1) * 501 == pytest.approx(round(splits.sign_flip_p([0.1, -0.2, 0.05, -0.3, -0.15], 500, 1) * 501))
     assert splits.sign_flip_p([-1.0] * 20, 500, 1) < 0.01 < splits.sign_flip_p([1.0] * 20, 500, 1)
