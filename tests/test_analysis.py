@@ -131,6 +131,11 @@ def test_signed_rank_of_millions(spark):
     assert (got.n, got.n_zero, got.statistic) == want[:3] and got.z == pytest.approx(want[3], abs=1e-8)
 
 
+def test_signed_rank_of_millions_with_zeros(spark):
+    got, want = large_signed_rank(spark, True)
+    assert (got.n, got.n_zero, got.statistic) == want[:3] and got.z == pytest.approx(want[3], abs=1e-8)
+
+
 def test_sign_flip():
     assert splits.sign_flip_p([0.1, -0.2, 0.05, -0.3, -0.15], 500, 1) * 501 == pytest.approx(round(splits.sign_flip_p([0.1, -0.2, 0.05, -0.3, -0.15], 500, 1) * 501))
     assert splits.sign_flip_p([-1.0] * 20, 500, 1) < 0.01 < splits.sign_flip_p([1.0] * 20, 500, 1)
