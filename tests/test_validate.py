@@ -69,3 +69,52 @@ def test_names():
     assert len({m[0] for m in validate.METRICS}) == len({m[5] for m in validate.METRICS}) == 25 and validate.metric("runtime_s")[0] == "runtime_ms"
     assert geo.clearance(np.array([(0.0, 0.0), (5.0, 5.0)]), [geo.ring([(4, 4), (6, 4), (6, 6), (4, 6)])]) == pytest.approx([math.hypot(4, 4), 0])
     assert validate.zero_radius_length([((0, 0), (1, 0)), ((1, 1), (0, 1))]) == 3
+
+
+def test_lengths_of_many_lines():
+    r = np.random.default_rng(3)
+    for k in range(40):
+        rings = [geo.ring([(0, 0), (40, 0), (40, 40), (0, 40)]), geo.ring(r.uniform(10, 20, (4, 2)))] if k % 2 else [geo.ring(r.uniform(0, 40, (6, 2)))]
+        u, offsets = geo.canonical(float(r.uniform(0, 3)) if k % 4 else 0.0), r.uniform(-40, 60, 50)
+        one = [sum(b - a for a, b in geo.eroded_intervals(rings, o, u, k % 3)) for o in offsets]
+        assert geo.eroded_lengths(rings, offsets, u, k % 3) == pytest.approx(one, abs=1e-8)
+
+
+def test_sums_of_overlays_by_points():
+    """Areas of overlapping triangles against a fine grid of points, and of nothing."""
+    r = np.random.default_rng(5)
+    polygons, clip = [[geo.ring(r.uniform(0, 10, (3, 2)))] for _ in range(5)], [[geo.ring([(2, 2), (9, 3), (4, 9)])], [geo.ring([(5, 1), (8, 1), (8, 6), (5, 6)])]]
+    at = np.stack(np.meshgrid(np.arange(0.005, 10, 0.01), np.arange(0.005, 10, 0.01)), -1).reshape(-1, 2)
+    each, over = [geo.contains(p[0], at) for p in polygons], geo.contains(clip[0][0], at) | geo.contains(clip[1][0], at)
+    some = np.any(each, axis=0)
+    want = {"inside": some & over, "outside": some & ~over, "clip": over, "sum": np.sum(each, axis=0) * over}
+    got = geo.overlay_areas(polygons, clip)
+    assert all(got[k] == pytest.approx(v.sum() * 1e-4, abs=0.05) for k, v in want.items())
+    assert geo.overlay_areas([]) == dict.fromkeys(("inside", "outside", "clip", "sum"), 0.0)
+
+
+def test_a_convex_field_holds_what_its_corners_say():
+    square = geo.ring([(0, 0), (0, 10), (10, 10), (10, 0)])
+    assert geo.within_convex(square, np.array([[0.0, 0.0], [10.0, 5.0], [3.0, 4.0]])) and not geo.within_convex(square, np.array([[3.0, 4.0], [10.1, 5.0]]))
+    notched = geo.ring([(0, 0), (10, 0), (10, 10), (5, 5), (0, 10)])
+    star = geo.ring([(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)])
+    assert not geo.within_convex(notched, np.array([[1.0, 1.0]])) and not geo.within_convex(star, np.array([[0.0, 0.0]]))
+
+
+def test_checks_do_not_go_line_by_line(monkeypatch):
+    """A rectangle's plan and its check look at a few hundred lines, not at thousands."""
+    calls = []
+    for name in ("eroded_intervals", "_eroded"):
+        if hasattr(geo, name):
+            monkeypatch.setattr(geo, name, lambda *a, f=getattr(geo, name): calls.append(1) or f(*a))
+    found = coverage.plan([FIELD], coverage.Vehicle(5.0, 2.0, 2.0), coverage.standard_configs()[0], coverage.Rows(0.3, 0.75))
+    assert validate.validate(validate.Problem(FIELD), coverage.Vehicle(5.0, 2.0, 2.0), found["segments"], headland=8.0).status == "ok"
+    assert 0 < len(calls) < 300
+
+
+def test_slabs_thinner_than_numbers():
+    """Sides that end one number apart leave slabs whose middle is at an end of theirs."""
+    x = np.nextafter(5e5, math.inf)
+    polygons = [[geo.ring([(5e5 - 1, 0), (5e5, 0), (x, 1), (5e5 - 1, 1)])], [geo.ring([(5e5, 0), (x, 0), (5e5 + 1, 2), (5e5, 2)])]]
+    got = geo.overlay_areas(polygons, [[geo.ring([(5e5 - 2, -1), (5e5 + 2, -1), (5e5 + 2, 3), (5e5 - 2, 3)])]])
+    assert got["inside"] == pytest.approx(2.0, abs=1e-6) and got["clip"] == pytest.approx(16.0) and got["outside"] == 0
