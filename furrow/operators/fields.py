@@ -17,14 +17,26 @@ def _area(rings: overlays.Polygon) -> float:
 
 
 def _rows(df: DataFrame, told: Callable, schema: str) -> DataFrame:
-    """The rows that ``told(row)`` gives for each row, batch by batch."""
+    """``(field_id, ...)`` of the rows that ``told(row)`` gives for each row of ``df(field_id, ...)``; it doesn't look at the id.
+
+    The rows are few bytes and the work on them is not, so they are dealt out to all cores, and neighbours that differ in their
+    id alone share the work.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
+    shape = [c for c in df.columns if c != "field_id"]
 
     def run(batches):
+        before, found = None, []
         for pdf in batches:
-            yield pd.DataFrame([x for r in pdf.itertuples(index=False) for x in told(r)], columns=names, dtype=object)
+            out = []
+            for r in pdf[["field_id", *shape]].itertuples(index=False):
+                now = [x.tolist() if hasattr(x, "tolist") else x for x in r[1:]]
+                if now != before:
+                    before, found = now, told(r)
+                out += [(r.field_id, *x) for x in found]
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(*shape).mapInPandas(run, schema)
 
 
 def decomposed(fields: DataFrame) -> DataFrame:
@@ -36,7 +48,7 @@ def decomposed(fields: DataFrame) -> DataFrame:
 
     def told(r):
         found = overlays.cells(geo.parse_polygon(r.wkt), [geo.parse_polygon(o) for o in (r.obstacles if r.obstacles is not None else [])])
-        return [(r.field_id, f"cell-{k:04d}", geo.format_polygon(c), _area(c)) for k, c in enumerate(found)]
+        return [(f"cell-{k:04d}", geo.format_polygon(c), _area(c)) for k, c in enumerate(found)]
 
     return _rows(fields.select(F.col("field_id").cast("string").alias("field_id"), "wkt", "obstacles"), told, "field_id string, cell_id string, wkt string, area double")
 
@@ -47,7 +59,7 @@ def united(pieces: DataFrame) -> DataFrame:
 
     def told(r):
         found = overlays.union([geo.parse_polygon(p) for p in (r.pieces if r.pieces is not None else [])])
-        return [(r.field_id, k, geo.format_polygon(p), len(p) - 1, _area(p)) for k, p in enumerate(found)]
+        return [(k, geo.format_polygon(p), len(p) - 1, _area(p)) for k, p in enumerate(found)]
 
     return _rows(pieces.select(F.col("field_id").cast("string").alias("field_id"), "pieces"), told, "field_id string, part long, wkt string, n_holes long, area double")
 
@@ -60,8 +72,8 @@ def metric(fields: DataFrame) -> DataFrame:
     def told(r):
         try:
             rings, code = overlays.to_metric(geo.parse_polygon(r.wkt or ""), int(str(r.source_crs).rpartition(":")[2]))
-            return [(r.field_id, geo.format_polygon(rings), f"EPSG:{code}", _area(rings), None)]
+            return [(geo.format_polygon(rings), f"EPSG:{code}", _area(rings), None)]
         except ValueError as e:
-            return [(r.field_id, r.wkt, None, None, str(e))]
+            return [(r.wkt, None, None, str(e))]
 
     return _rows(fields.select(F.col("field_id").cast("string").alias("field_id"), "wkt", "source_crs"), told, "field_id string, wkt string, working_crs string, area double, reason string")
