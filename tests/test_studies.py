@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from furrow.operators import confirm, pareto, recommender, regret, splits, stats
-from furrow.plans import coverage, evolution
+from furrow.plans import coverage, evolution, studies
 from furrow.sources import readers, runs
 
 SIZES = "field_id string, instance_id string, vehicle_index long, effective_pool long, front_size long"
@@ -213,3 +214,15 @@ def test_one_fold_alone(spark):
     d = spark.createDataFrame(rows, "config_id string, instance_id string, fold long, applicable boolean, x double, e1 double")
     got = recommender.cross_predict(d, ["x"], ["e1"], trees=8, held=[2])
     assert {r.fold for r in got.collect()} == {2} and got.count() == 4
+
+
+def test_a_shape_is_planned_once(spark, tmp_path):
+    """Three copies of the suppliers under other keys are as many shapes, and each stands for three fields."""
+    d = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    n = d.count()
+    d.crossJoin(spark.range(3).select(F.col("id").alias("copy"))).withColumn("s_suppkey", F.col("s_suppkey") + 1000 * F.col("copy")).drop("copy").write.parquet(str(tmp_path / "supplier.parquet"))
+    fields, counts = studies._shapes(spark, str(tmp_path))
+    assert fields.count() == len(counts) <= n and sum(counts.values()) == 3 * n and min(counts.values()) == 3
+    fields.unpersist()
+    last = entry.queries()["route_evolution_ledger"](spark, str(tmp_path)).orderBy("index").collect()[-1]
+    assert json.loads(last.payload)["evaluations"] % (3 * n) == 0 < json.loads(last.payload)["evaluations"]
