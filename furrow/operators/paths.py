@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -114,9 +116,59 @@ def tour_lengths(tours: DataFrame, nodes: DataFrame, distance, key: str = "tour_
     return legs.groupBy(key).agg(F.sum(distance(F.col("dx"), F.col("dy"))).alias("length"), F.count("*").alias("n_nodes"))
 
 
+def nearest_places(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the nearest of some places, the first among equals, and the distance. All points go outward from where
+    they lie among the places, sorted along their wider side, until the next place is further along it than the nearest one."""
+    if np.ptp(cx) < np.ptp(cy):
+        x, y, cx, cy = y, x, cy, cx
+    _, first = np.unique(np.column_stack([cx, cy]), axis=0, return_index=True)  # along the first column; of equal places the first
+    sx, sy = cx[first], cy[first]
+    at = np.searchsorted(sx, x)
+    best, found = np.full(len(x), np.inf), np.full(len(x), len(cx))
+    going, step = {1: np.arange(len(x)), -1: np.arange(len(x))}, 0
+    while any(map(len, going.values())):
+        for side, of in going.items():
+            j = at[of] + (step if side > 0 else -1 - step)
+            on = (j >= 0) & (j < len(sx))
+            of, j = of[on], j[on]
+            dx = sx[j] - x[of]
+            on = np.abs(dx) * (1 - 1e-12) <= best[of]
+            of, j, dx = of[on], j[on], dx[on]
+            dy = sy[j] - y[of]
+            d = np.sqrt(dx * dx + dy * dy)
+            better = (d < best[of]) | ((d == best[of]) & (first[j] < found[of]))
+            best[of[better]], found[of[better]] = d[better], first[j[better]]
+            going[side] = of
+        step += 1
+    return found, best
+
+
 def nearest_cells(segments: DataFrame, cells: DataFrame, key: str = "field_id") -> DataFrame:
     """``(segment_id, cell, distance)``: the nearest of a field's ``cells(cell, cx, cy)`` to a segment's middle ``(x, y)``, the
-    smaller among equals; null where the field has none. A field's cells are few, so the join's fan-out is bounded by them."""
-    distance = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-    near = segments.join(cells, key).groupBy("segment_id").agg(F.min(F.struct(distance.alias("distance"), "cell")).alias("near"))
-    return segments.select("segment_id").join(near, "segment_id", "left").select("segment_id", "near.cell", "near.distance")
+    smaller among equals; null where the field has none. A cell without a place is taken if the field has no other, and then, as
+    for a segment without one, the distance is null.
+
+    No pair is written anywhere: a field's segments are dealt out to as many parts as there are cores, each with all its cells.
+    """
+    parts = segments.sparkSession.sparkContext.defaultParallelism
+    left = segments.select(F.col(key).alias("k"), F.pmod(F.hash("segment_id"), F.lit(parts)).alias("part"), "segment_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    right = cells.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cell", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"segment_id": a["segment_id"], "cell": None, "distance": np.nan})
+        if len(a) and len(b):
+            b = b.sort_values("cell")
+            x, y, cx, cy = (v.to_numpy(float) for v in (a["x"], a["y"], b["cx"], b["cy"]))
+            known, placed = np.isfinite(x) & np.isfinite(y), np.isfinite(cx) & np.isfinite(cy)
+            names = b["cell"].to_numpy(object)
+            near, distance = np.full(len(a), names[0]), np.full(len(a), np.nan)
+            if placed.any():
+                place, distance[known] = nearest_places(x[known], y[known], cx[placed], cy[placed])
+                near[known] = names[placed][place]
+            out = out.assign(cell=near, distance=distance)
+        return out
+
+    kinds = dict(segments.dtypes) | dict(cells.dtypes)
+    n = 4 * parts
+    both = left.repartition(n, "k", "part").groupBy("k", "part").cogroup(right.repartition(n, "k", "part").groupBy("k", "part"))
+    return both.applyInPandas(run, f"segment_id {kinds['segment_id']}, cell {kinds['cell']}, distance double")

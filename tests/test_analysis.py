@@ -198,3 +198,24 @@ def test_segments(spark):
     assert (m.entry_m, m.turn_m, m.inter_cell_m, m.exit_m, m.n_turns, m.n_inter_cell, m.headland_turns) == (3, 3, 4, 7, 1, 2, 3)
     with pytest.raises(Exception, match="without work"):
         paths.segment_metrics(spark.createDataFrame([("p", 0, "TURN", 1.0, None)], schema)).collect()
+
+
+def test_nearest_places():
+    r = np.random.default_rng(2)
+    for k in range(60):
+        n, wide = int(r.integers(1, 40)), [0, 3, 1000][k % 3]
+        x, y, cx, cy = (r.integers(0, wide * s + 1, size).astype(float) for s, size in ((1, 30), (2, 30), (1, n), (1 + k % 2 * 4, n)))
+        d = np.sqrt((x[:, None] - cx) ** 2 + (y[:, None] - cy) ** 2)
+        found, distance = paths.nearest_places(x, y, cx, cy)
+        assert (found == d.argmin(1)).all() and (distance == d.min(1)).all()
+
+
+def test_nearest_cells_make_no_pairs(spark):
+    """Nulls, ties and fields without cells; and no join whose pairs would have to be kept."""
+    s = spark.createDataFrame([("f", 1, 0.0, 0.0), ("f", 2, 5.0, 5.0), ("f", 3, None, 1.0), ("g", 4, 0.0, 0.0), (None, 5, 0.0, 0.0), ("h", 6, 1.0, 1.0)], "field_id string, segment_id long, x double, y double")
+    c = spark.createDataFrame([("f", 9, 0.0, 1.0), ("f", 8, 1.0, 0.0), ("f", 7, None, 0.0), ("h", 3, 1.0, None), ("h", 2, None, 1.0), (None, 1, 0.0, 0.0)], "field_id string, cell int, cx double, cy double")
+    found = paths.nearest_cells(s, c)
+    assert found.dtypes == [("segment_id", "bigint"), ("cell", "int"), ("distance", "double")]
+    rows = {r.segment_id: (r.cell, r.distance) for r in found.collect()}
+    assert rows == {1: (8, 1.0), 2: (8, math.sqrt(41)), 3: (7, None), 4: (None, None), 5: (None, None), 6: (2, None)}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
