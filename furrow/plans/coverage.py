@@ -235,20 +235,26 @@ _RUN = "instance_id string, config_id string, runstatus string, failure_reason s
 def run_matrix(instances: DataFrame, configs: list[Config], vehicles: list[Vehicle], done: DataFrame | None = None) -> DataFrame:
     """A row for each of ``instances(instance_id, wkt, vehicle_index, row_direction, row_spacing)`` and configuration,
     but for those in ``done(instance_id, config_id)``. Failures are rows: a configuration that doesn't fit is not
-    applicable, any other exception is a crash with its reason."""
+    applicable, any other exception is a crash with its reason. Instances that differ in their id alone share a plan, whose
+    seconds stand in each one's row."""
     names = instances.sparkSession.createDataFrame([(k, c.config_id) for k, c in enumerate(configs)], "place int, config_id string")
     grid = instances.crossJoin(F.broadcast(names))  # a list of settings
     if done is not None:
         grid = grid.join(done.select("instance_id", "config_id"), ["instance_id", "config_id"], "left_anti")
 
     def run(batches):
+        before, told = None, {}
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                began = time.perf_counter()
-                row = {"instance_id": r.instance_id, "config_id": r.config_id, "runstatus": "crash", "failure_reason": None}
+                rows = None if r.row_spacing is None or math.isnan(r.row_spacing) else Rows(r.row_direction, r.row_spacing)
+                names = {"instance_id": r.instance_id, "config_id": r.config_id}
+                if (now := (r.wkt, r.vehicle_index, r.place, rows)) == before:
+                    out.append(told | names)
+                    continue
+                began, before = time.perf_counter(), now
+                row = {"runstatus": "crash", "failure_reason": None}
                 try:
-                    rows = None if r.row_spacing is None or math.isnan(r.row_spacing) else Rows(r.row_direction, r.row_spacing)
                     found = plan(list(_rings(r.wkt)), vehicles[r.vehicle_index], configs[r.place], rows)
                     row["runstatus"] = "ok" if found["status"] == "ok" else "not_applicable" if configs[r.place].headland == "no_headland" else "outside_area"
                     row["failure_reason"] = found["failure_reason"]
@@ -259,11 +265,14 @@ def run_matrix(instances: DataFrame, configs: list[Config], vehicles: list[Vehic
                     row |= {"runstatus": "not_applicable", "failure_reason": str(e)}
                 except Exception as e:  # noqa: BLE001  failures are rows
                     row["failure_reason"] = f"{type(e).__name__}: {e}"
-                out.append(row | {"planning_s": time.perf_counter() - began})
+                told = row | {"planning_s": time.perf_counter() - began}
+                out.append(told | names)
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in _RUN.split(", ")])
             yield frame.astype({"n_swaths": "Int64"})
 
-    return grid.mapInPandas(run, _RUN)
+    work = ["wkt", "vehicle_index", "row_direction", "row_spacing", "place"]
+    dealt = grid.repartition(4 * instances.sparkSession.sparkContext.defaultParallelism, *work).sortWithinPartitions(*work)
+    return dealt.mapInPandas(run, _RUN)
 
 
 def reference_length(area, parts, diameter, width: float, radius: float):

@@ -439,4 +439,4 @@ def coverage_runs(spark, d):
     fields = _notched(spark, d).select(F.col("field_id").cast("string").alias("field_id"), "wkt", vehicle.alias("vehicle_index"))
     instances = fields.select(F.concat_ws(":", "field_id", F.col("vehicle_index").cast("string")).alias("instance_id"), "wkt", "vehicle_index", F.lit(0.3).alias("row_direction"), F.lit(0.75).alias("row_spacing"))
     vehicles = [coverage.Vehicle(5.0, 2.0, 2.0), coverage.Vehicle(5.0, 2.0, 2.5, can_reverse=True)]
-    return coverage.run_matrix(instances.repartition(spark.sparkContext.defaultParallelism), coverage.standard_configs(), vehicles).drop("planning_s")
+    return coverage.run_matrix(instances, coverage.standard_configs(), vehicles).drop("planning_s")

@@ -232,3 +232,19 @@ def test_steps_of_a_route_do_not_look_at_all_customers(monkeypatch):
     r = np.random.default_rng(1)
     routes = routing.savings_free_routes([f"n{k:04d}" for k in range(n)], r.uniform(0, 100, n), r.uniform(0, 100, n), np.arange(n) % 7 + 1.0, 20.0)
     assert sum(map(len, routes)) == n - 1 and calls[0] < 200 * n
+
+
+def test_equal_instances_share_a_plan(spark):
+    """Equal fields under other ids have equal rows, down to the seconds of the one plan; others have their own."""
+    box = "POLYGON ((0 0, {0} 0, {0} 50, 0 50, 0 0))"
+    rows = [(f"i{k}", box.format([90, 80][k % 2]), 0, 0.3, [0.75, None][k // 2 % 2]) for k in range(12)]
+    d = spark.createDataFrame(rows, "instance_id string, wkt string, vehicle_index int, row_direction double, row_spacing double")
+    vehicle, configs = coverage.Vehicle(5.0, 2.0, 2.0), [c for c in coverage.standard_configs() if c.path == "dubins_transit"][:3]
+    found = coverage.run_matrix(d, configs, [vehicle]).collect()
+    assert len({(r.instance_id, r.config_id) for r in found}) == 36 and {r.runstatus for r in found} == {"ok"}
+    seconds, length = {}, {}
+    for r in found:
+        k = int(r.instance_id[1:])
+        seconds.setdefault((k % 4, r.config_id), set()).add(r.planning_s)
+        length.setdefault((k % 2, r.config_id), set()).add(r.path_length)
+    assert len(seconds) == 12 and all(len(v) == 1 for v in seconds.values()) and all(len(v) == 1 for v in length.values())
