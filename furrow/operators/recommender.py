@@ -32,71 +32,135 @@ class Forest:
     value: np.ndarray
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        """The sum of the trees' predictions."""
-        out = np.zeros((len(x), self.value.shape[1]))
-        for root in range(self.roots):
-            at = np.full(len(x), root)
-            while True:
-                k = np.flatnonzero(self.feature[at] >= 0)
-                if not len(k):
-                    break
-                inner = at[k]
-                goes = x[k, self.feature[inner]] <= self.cut[inner]
-                at[k] = np.where(goes, self.left[inner], self.right[inner])
-            out += self.value[at]
+        """The sum of the trees' predictions; rows walk down all trees side by side."""
+        n = len(x)
+        at = np.repeat(np.arange(self.roots), n)
+        live = np.flatnonzero(self.feature[at] >= 0)
+        while len(live):
+            inner = at[live]
+            goes = x[live % n, self.feature[inner]] <= self.cut[inner]
+            at[live] = inner = np.where(goes, self.left[inner], self.right[inner])
+            live = live[self.feature[inner] >= 0]
+        out = np.zeros((n, self.value.shape[1]))
+        for tree in at.reshape(self.roots, n):
+            out += self.value[tree]
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, r: np.random.Generator, trees: int, leaf: int = LEAF) -> Forest:
+#: A node of more rows is multiplied alone; smaller ones are many at a time, in stacks of about equal sizes and this many rows.
+ALONE, STACK = 192, 1 << 14
+_STEPS = np.array([2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, ALONE])
+
+
+def _kinds(y: np.ndarray) -> np.ndarray:
+    return np.unique(y, axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _sums_beyond(beyond: np.ndarray, y: np.ndarray, rows: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each node (its first place and number of places in ``rows``) and feature the sum of ``y`` over its rows that are
+    ``beyond``."""
+    out = np.empty((len(start), beyond.shape[1], y.shape[1]))
+    for k in np.flatnonzero(size > ALONE):
+        part = slice(start[k], start[k] + size[k])
+        out[k] = beyond[part].T.astype(float) @ y[rows[part]]
+    small = np.flatnonzero(size <= ALONE)
+    step = np.searchsorted(_STEPS, size[small])
+    for s in np.unique(step):
+        nodes, wide = small[step == s], _STEPS[s]
+        for k in range(0, len(nodes), at_once := max(1, STACK // int(wide))):
+            of = nodes[k : k + at_once]
+            at = start[of, None] + np.arange(wide)
+            inside = np.arange(wide) < size[of, None]
+            at = np.minimum(at, len(rows) - 1)
+            out[of] = np.matmul((beyond[at] & inside[..., None]).transpose(0, 2, 1).astype(float), y[rows[at]])
+    return out
+
+
+def grow(x: np.ndarray, y: np.ndarray, r: np.random.Generator, trees: int, leaf: int = LEAF, weight: np.ndarray | None = None, kind: np.ndarray | None = None) -> Forest:
     """Trees over all rows of several outputs, a level of all trees at a time; each node tries a cut of each feature.
-    No leaf has fewer than ``leaf`` rows; nodes of equal rows or equal outputs are leaves."""
-    n, mean = len(x), y.mean(0)
-    y = y - mean
+    No leaf has fewer than ``leaf`` rows; nodes of equal rows or equal outputs are leaves. A row of weight n stands for n equal
+    ones; ``kind`` numbers its outputs, equal ones alike. Among cuts that are equally good, but for rounding, the first
+    feature's is taken."""
+    n, weight = len(x), np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    mean = (y * weight[:, None]).sum(0) / weight.sum()
+    kind = _kinds(y) if kind is None else kind
+    y = np.column_stack([(y - mean) * weight[:, None], weight])
+    used = np.flatnonzero(x.min(0) < x.max(0))
+    draws, x = x.shape[1], np.ascontiguousarray(x[:, used])
     rows, ids = np.tile(np.arange(n), trees), np.arange(trees)
-    start = ids * n
+    start, total = ids * n, np.repeat(y.sum(0)[None], trees, 0)
     levels, count = [], trees
+
+    def close(nodes: np.ndarray, rows: np.ndarray, size: np.ndarray) -> None:
+        """Nodes that become leaves get their rows' mean, summed anew."""
+        if len(nodes):
+            sums = np.add.reduceat(y[rows], np.cumsum(size) - size)
+            levels[-1][3][nodes] = sums[:, :-1] / sums[:, -1:] + mean
+
     while len(ids):
         size = np.diff(start, append=len(rows))
-        of = y[rows]
-        total = np.add.reduceat(of, start)
-        varied = (np.maximum.reduceat(of, start) > np.minimum.reduceat(of, start)).any(1)
-        best = np.full(len(ids), -np.inf)
-        feature, cut, right = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(rows), bool)
-        for f in range(x.shape[1]):
-            v = x[rows, f]
-            low, high = np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
-            c = r.uniform(low, high)
-            beyond = v > np.repeat(c, size)
-            many = np.add.reduceat(beyond, start, dtype=np.int64)
-            allowed = varied & (many >= leaf) & (size - many >= leaf)
-            if not allowed.any():
-                continue
-            part = np.add.reduceat(np.where(beyond[:, None], of, 0.0), start)
-            gain = (part**2).sum(1) / np.maximum(many, 1) + ((total - part) ** 2).sum(1) / np.maximum(size - many, 1)
-            better = allowed & (gain > best)
-            best[better], feature[better], cut[better] = gain[better], f, c[better]
-            right = np.where(np.repeat(better, size), beyond, right)
-        split = feature >= 0
-        child = np.full(len(ids), -1)
-        child[split] = count + 2 * np.arange(split.sum())
-        levels.append((feature, cut, child, total / size[:, None] + mean))
-        stay = np.repeat(split, size)
-        key = (np.repeat(child, size) + right)[stay]
-        order = np.argsort(key, kind="stable")
-        rows, key = rows[stay][order], key[order]
-        ids = np.arange(count, count + 2 * split.sum())
-        start = np.searchsorted(key, ids)
+        chance = r.random((draws, len(ids)))[used].T  # one for each feature and node, those that are alike everywhere too
+        kinds = kind[rows]
+        open_ = (np.minimum.reduceat(kinds, start) < np.maximum.reduceat(kinds, start)) & (total[:, -1] >= 2 * leaf) & (len(used) > 0)
+        feature, cut, child = np.full(len(ids), -1), np.zeros(len(ids)), np.full(len(ids), -1)
+        levels.append((feature, cut, child, np.zeros((len(ids), y.shape[1] - 1))))
+        stay = np.repeat(open_, size)
+        close(np.flatnonzero(~open_), rows[~stay], size[~open_])
+        # from here on only nodes that may be split
+        best = np.flatnonzero(open_)
+        if not len(best):
+            break
+        rows, of, told = rows[stay], total[best], size[best]
+        start = np.cumsum(told) - told
+        v = x[rows]
+        low, high = np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
+        cuts = low + (high - low) * chance[best]
+        beyond = v > np.repeat(cuts, told, axis=0)
+        part = _sums_beyond(beyond, y, rows, start, told)
+        many, rest = part[..., -1], of[:, None, :] - part
+        good = (many >= leaf) & (rest[..., -1] >= leaf)
+        square = lambda a: np.einsum("nfo,nfo->nf", a[..., :-1], a[..., :-1])
+        gain = np.where(good, square(part) / np.maximum(many, 1) + square(rest) / np.maximum(rest[..., -1], 1), -1.0)
+        first = (gain >= gain.max(1, keepdims=True) * (1 - 1e-12)).argmax(1)
+        each = np.arange(len(best))
+        split = good[each, first]
+        feature[best[split]], cut[best[split]] = used[first[split]], cuts[each, first][split]
+        child[best[split]] = count + 2 * np.arange(split.sum())
+        # rows of a node that is split go to its children, in order
+        stay = np.repeat(split, told)
+        close(best[~split], rows[~stay], told[~split])
+        right = beyond[np.arange(len(rows)), np.repeat(first, told)][stay]
+        rows, told = rows[stay], told[split]
+        start = np.cumsum(told) - told
+        over = np.add.reduceat(right, start, dtype=np.int64) if len(start) else told
+        before = np.cumsum(right) - right  # how many went right before
+        before -= np.repeat(before[start], told)
+        place = np.arange(len(rows)) - np.repeat(start, told)
+        to = np.repeat(start, told) + np.where(right, np.repeat(told - over, told) + before, place - before)
+        moved = np.empty_like(rows)
+        moved[to] = rows
+        rows = moved
+        start = np.column_stack([start, start + told - over]).reshape(-1)
+        total = np.stack([rest[each, first][split], part[each, first][split]], 1).reshape(-1, y.shape[1])
+        ids = np.arange(count, count + len(start))
         count += len(ids)
     feature, cut, child, value = (np.concatenate(c) for c in zip(*levels))
     return Forest(trees, feature, cut, child, child + 1, value)
 
 
-def fit_predict(train_x, train_y, test_x, trees: int = TREES, seed: int = SEED, leaf: int = LEAF) -> np.ndarray:
-    """Mean of the trees' predictions, none below 0."""
+def fit_predict(train_x, train_y, test_x, trees: int = TREES, seed: int = SEED, leaf: int = LEAF, weight: np.ndarray | None = None) -> np.ndarray:
+    """Mean of the trees' predictions, none below 0. Rows of weight n stand for n equal ones; equal rows are learnt from
+    together, and predicted once. The order of rows doesn't matter."""
     r = np.random.default_rng(seed)
-    at_once = max(1, ROWS // len(train_x))
-    total = sum(grow(train_x, train_y, r, min(at_once, trees - k), leaf).predict(test_x) for k in range(0, trees, at_once))
-    return np.maximum(0.0, total / trees)
+    given = np.ones(len(train_x)) if weight is None else np.asarray(weight, float)
+    _, first, same = np.unique(np.column_stack([train_x, train_y]), axis=0, return_index=True, return_inverse=True)
+    weight = np.bincount(same.reshape(-1), given)
+    x, y = train_x[first], train_y[first]
+    kind = _kinds(y)
+    at_once = max(1, ROWS // int(weight.sum()))
+    asked, back = np.unique(test_x, axis=0, return_inverse=True)
+    total = sum(grow(x, y, r, min(at_once, trees - k), leaf, weight, kind).predict(asked) for k in range(0, trees, at_once))
+    return np.maximum(0.0, total / trees)[back.reshape(-1)]
 
 
 def cross_predict(table: DataFrame, features: list[str], outputs: list[str], trees: int = TREES, seed: int = SEED, held: list[int] | None = None) -> DataFrame:
@@ -107,16 +171,24 @@ def cross_predict(table: DataFrame, features: list[str], outputs: list[str], tre
     kept = table.select("config_id", "instance_id", "fold", "applicable", *features, *outputs).fillna(0.0, features)
     schema = "config_id string, instance_id string, fold long, " + ", ".join(f"{o} double" for o in outputs)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test, train = pdf[pdf["fold"] == pdf["held"]], pdf[(pdf["fold"] != pdf["held"]) & pdf["applicable"] & pdf[outputs].notna().all(axis=1)]
-        if len(train) < 2 or not len(test):
+    def run(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        if train["weight"].sum() < 2 or not len(test):
             return pd.DataFrame(columns=["config_id", "instance_id", "fold", *outputs])
-        train = train.sort_values("instance_id")
-        p = fit_predict(train[features].to_numpy(float), train[outputs].to_numpy(float), test[features].to_numpy(float), trees, seed)
+        x, y, asked = (d[c].to_numpy(float) for d, c in ((train, features), (train, outputs), (test, features)))
+        p = fit_predict(x, y, asked, trees, seed, weight=train["weight"].to_numpy(float))
         return pd.concat([test[["config_id", "instance_id", "fold"]].reset_index(drop=True), pd.DataFrame(p, columns=outputs)], axis=1)
 
-    # a task for each model, told how many, since the rows are few and the work on them is not
+    told = F.lit(True)
+    for o in outputs:
+        told &= F.col(o).isNotNull() & ~F.isnan(o)
+    alike = kept.where(F.col("applicable") & told).groupBy("config_id", *features, *outputs).agg(F.collect_list("fold").alias("folds"))
     folds = kept.select(F.col("fold").alias("held")).distinct()
-    held = kept.crossJoin(F.broadcast(folds if held is None else folds.where(F.col("held").isin(*held))))
-    held = held.repartition(4 * table.sparkSession.sparkContext.defaultParallelism, "config_id", "held")
-    return held.groupBy("config_id", "held").applyInPandas(run, schema)
+    folds = F.broadcast(folds if held is None else folds.where(F.col("held").isin(*held)))
+    # equal rows go to each model once, with their number in the other folds; a model's own rows go to it alone
+    train = alike.crossJoin(folds).withColumn("weight", F.size(F.filter("folds", lambda f: f != F.col("held")))).where("weight > 0").drop("folds")
+    test = kept.withColumn("held", F.col("fold")).join(folds, "held").select("config_id", "instance_id", "fold", "held", *features)
+    # a task for each model, told how many, since the rows are few and the work on them is not
+    n = 16 * table.sparkSession.sparkContext.defaultParallelism
+    train = train.toDF(*train.columns)  # columns of their own, that a cogroup can tell from the other side's
+    train, test = (d.repartition(n, "config_id", "held").groupBy("config_id", "held") for d in (train, test))
+    return train.cogroup(test).applyInPandas(run, schema)

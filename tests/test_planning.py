@@ -248,3 +248,60 @@ def test_equal_instances_share_a_plan(spark):
         seconds.setdefault((k % 4, r.config_id), set()).add(r.planning_s)
         length.setdefault((k % 2, r.config_id), set()).add(r.path_length)
     assert len(seconds) == 12 and all(len(v) == 1 for v in seconds.values()) and all(len(v) == 1 for v in length.values())
+
+
+def test_equal_rows_weigh_as_many():
+    """Rows of a weight predict as their copies do, in any order; leaves count copies."""
+    r = np.random.default_rng(6)
+    x, y, asked = r.uniform(size=(40, 5)), r.uniform(size=(40, 3)), r.uniform(size=(30, 5))
+    x[:, 2], weight = 1.0, r.integers(1, 5, 40)
+    copies = r.permutation(np.repeat(np.arange(40), weight))
+    want = recommender.fit_predict(x[copies], y[copies], asked, trees=30)
+    assert recommender.fit_predict(x, y, asked, trees=30, weight=weight) == pytest.approx(want, abs=1e-12)
+    single = recommender.grow(x, y, np.random.default_rng(0), 3, weight=np.full(40, 2))
+    assert (single.feature != 2).all() and (single.feature < 0).sum() == 120 and recommender.grow(x, y, np.random.default_rng(0), 3).feature.size < single.feature.size
+
+
+def plain_tree(x, y, cuts, leaf=2):
+    """The leaves' rows of a tree grown node by node with the given cuts of each node, breadth first."""
+    level, leaves = [np.arange(len(x))], []
+    while level:
+        chance, after = cuts(len(level)), []
+        for k, rows in enumerate(level):
+            best, found = -1.0, None
+            for f in range(x.shape[1]):
+                v = x[rows, f]
+                beyond = v > v.min() + (v.max() - v.min()) * chance[f, k]
+                if min(beyond.sum(), (~beyond).sum()) < leaf or (y[rows] == y[rows[0]]).all():
+                    continue
+                d = y[rows] - y.mean(0)
+                gain = sum((d[m].sum(0) ** 2).sum() / m.sum() for m in (beyond, ~beyond))
+                if gain > best * (1 + 1e-12):
+                    best, found = gain, beyond
+            if found is None:
+                leaves.append(rows)
+            else:
+                after += [rows[~found], rows[found]]
+        level = after
+    return leaves
+
+
+def test_trees_are_those_grown_node_by_node():
+    for seed, n in ((1, 30), (2, 700)):
+        r = np.random.default_rng(seed)
+        x, y = r.uniform(size=(n, 4)).round(2), r.uniform(size=(n, 2))
+        draws = np.random.default_rng(seed)
+        forest = recommender.grow(x, y, np.random.default_rng(seed), 1)
+        for rows in plain_tree(x, y, lambda nodes: draws.random((4, nodes))):  # noqa: B023
+            assert forest.predict(x[rows]) == pytest.approx(np.tile(y[rows].mean(0), (len(rows), 1)), abs=1e-9)
+
+
+def test_models_get_equal_rows_once(spark):
+    rows = [("c", f"i{k}", k % 3, True, float(k // 3 % 4), float(k // 3 % 4)) for k in range(48)]
+    d = spark.createDataFrame(rows, "config_id string, instance_id string, fold long, applicable boolean, x double, e1 double")
+    got = recommender.cross_predict(d, ["x"], ["e1"], trees=6)
+    assert sorted(r.instance_id for r in got.collect()) == sorted(r[1] for r in rows)
+    x, y, fold = (np.array([r[k] for r in rows]) for k in (4, 5, 2))
+    for r in got.collect():
+        want = recommender.fit_predict(x[fold != r.fold, None], y[fold != r.fold, None], np.array([[x[int(r.instance_id[1:])]]]), 6)
+        assert r.e1 == pytest.approx(want[0, 0], abs=1e-12)
