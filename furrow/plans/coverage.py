@@ -161,11 +161,12 @@ def _inside(rings: list[geo.Ring], points: np.ndarray, margin: float) -> bool:
     return bool(free.all()) and all((geo.distance_to_edges(r, points) >= margin - 1e-6).all() for r in rings)
 
 
-def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | None = None, *, multiplier: float = 1.0, penalty: float = 0.0, step: float = 0.5) -> dict:
+def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | None = None, *, multiplier: float = 1.0, penalty: float = 0.0, step: float = 0.5, swaths: list | None = None) -> dict:
     """Swaths, route, path and metrics of one field.
 
     The vehicle's centre must stay inside the field, half its body from its sides and holes; this is checked on
-    points at most ``step`` apart. Raises :class:`Inapplicable` where the configuration doesn't fit.
+    points at most ``step`` apart. Raises :class:`Inapplicable` where the configuration doesn't fit. ``swaths`` are those
+    that :func:`geo.swaths` gives for the configuration, if they are known.
     """
     if config.path == "reeds_shepp_transit" and not vehicle.can_reverse:
         raise Inapplicable("the path needs a reverse gear")
@@ -173,7 +174,8 @@ def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | N
         raise Inapplicable("the path needs a turning circle")
     margin = float(config.params["headland_width"]) if config.headland == "uniform_headland" else vehicle.body / 2
     angle = direction(rings, config, rows)
-    swaths = geo.swaths(rings, angle, vehicle.width, margin)
+    if swaths is None:
+        swaths = geo.swaths(rings, angle, vehicle.width, margin)
     if not swaths:
         raise Inapplicable("the headland leaves nothing")
     if config.decomposition == "boustrophedon_cells":
@@ -194,24 +196,30 @@ def plan(rings: list[geo.Ring], vehicle: Vehicle, config: Config, rows: Rows | N
     if config.decomposition == "boustrophedon_cells":
         turn = [(k, i % 2 == 0) for c in sorted(set(ranks)) for i, (k, _) in enumerate([t for t in turn if ranks[t[0]] == c])]
     work = sum(math.dist(*s) for s in swaths)
-    transfers, ok = 0.0, True
+    transfers, ok, unchecked = 0.0, True, []
     segments = [Segment("WORK", np.array(_driven(swaths[turn[0][0]], turn[0][1])))]
     crossings = sum(_crossed(*swaths[k], rows) for k, _ in turn)
     for (a, fa), (b, fb) in zip(turn, turn[1:]):
         start, goal = _pose(swaths[a], fa, True), _pose(swaths[b], fb, False)
         if config.path == "dubins_transit":
-            words = kin.dubins(start, goal, vehicle.radius)[:1]
+            if (chosen := kin.shortest(start, goal, vehicle.radius)) is None:
+                raise ValueError("no path reaches the next swath")
+            points = kin.sample(start, chosen, vehicle.radius, step)
+            unchecked.append(points)
         else:
             words = kin.reeds_shepp(start, goal, vehicle.radius)
-        chosen = next((w for w in words if _inside(rings, kin.sample(start, w, vehicle.radius, step), vehicle.body / 2)), None)
-        if chosen is None:
-            ok = False
-            chosen = min(words, key=lambda w: (w.cost(vehicle.radius, multiplier, penalty), w.name))
+            chosen = next((w for w in words if _inside(rings, kin.sample(start, w, vehicle.radius, step), vehicle.body / 2)), None)
+            if chosen is None:
+                ok = False
+                chosen = min(words, key=lambda w: (w.cost(vehicle.radius, multiplier, penalty), w.name))
+            points = kin.sample(start, chosen, vehicle.radius, step)
         transfers += chosen.length * vehicle.radius
         crossings += _crossed(start[:2], goal[:2], rows)
         reverse = any(v < -1e-12 for _, v in chosen.steps)
         curvature = 1 / vehicle.radius if any(k != "S" and abs(v) > 1e-12 for k, v in chosen.steps) else 0.0
-        segments += [Segment("TURN", kin.sample(start, chosen, vehicle.radius, step), curvature, reverse), Segment("WORK", np.array(_driven(swaths[b], fb)))]
+        segments += [Segment("TURN", points, curvature, reverse), Segment("WORK", np.array(_driven(swaths[b], fb)))]
+    if unchecked:  # one word each, so their points are looked at together
+        ok = _inside(rings, np.concatenate(unchecked), vehicle.body / 2)
     return {
         "status": "ok" if ok else "constraint_violation", "failure_reason": None if ok else "validator_rejected:outside_area",
         "path_length": work + transfers, "headland_turns": float(len(turn) - 1), "row_crossings": crossings, "n_swaths": len(swaths), "work_m": work, "transfer_m": transfers, "segments": segments,

@@ -228,6 +228,42 @@ def test_a_shape_is_planned_once(spark, tmp_path):
     assert json.loads(last.payload)["evaluations"] % (3 * n) == 0 < json.loads(last.payload)["evaluations"]
 
 
+def test_swaths_are_laid_once_and_a_source_planned_once(spark, monkeypatch):
+    """Shapes that all differ: each one's swaths serve all rounds, and a source that is proposed again costs no job."""
+    from furrow.functions import geometry as geo
+
+    data, calls, planned = "/root/testdata/sf0.001", [], studies._planned
+    fields, counts = studies._shapes(spark, data, studies._laid)
+    some = fields.limit(8).collect()
+    assert len(some) == 8 <= len(counts)
+    for r in some:
+        rings = geo.parse_polygon(r.wkt)
+        ends = [((a, b), (c, d)) for a, b, c, d in np.array(r.swaths).reshape(-1, 4).tolist()]
+        assert ends == geo.swaths(rings, geo.principal_angle(rings[0]), 5.0, 8.0)
+        if ends:
+            config = coverage.Config(swath="principal_axis")
+            with monkeypatch.context() as m:
+                whole = coverage.plan(rings, studies._VEHICLE, config)
+                m.setattr(geo, "swaths", None)
+                assert {k: v for k, v in coverage.plan(rings, studies._VEHICLE, config, swaths=ends).items() if k != "segments"} == {k: v for k, v in whole.items() if k != "segments"}
+    fields.unpersist()
+    monkeypatch.setattr(studies, "_planned", lambda *a: calls.append(a) or planned(*a))
+    log = [json.loads(r.payload) for r in entry.queries()["route_evolution_ledger"](spark, data).orderBy("index").collect()]
+    evaluated = [r["candidate"] for before, r in zip([{"evaluations": 0}, *log], log) if r["evaluations"] > before["evaluations"]]
+    assert len(calls) == 1 + len(set(evaluated)) < 1 + len(evaluated)  # the plan by turns, and each source
+
+
+def test_route_distances_of_either_direction():
+    """Each pair's distance, measured once, is that of the ends where swaths are left and entered in turn."""
+    r = np.random.default_rng(5)
+    ends = [tuple(map(tuple, r.uniform(0, 90, (2, 2)).tolist())) for _ in range(5)]
+    away = evolution.compile_heuristic("def f(s, c):\n    return c['distance_norm']")
+    for done in ([], [3], [3, 1], [3, 1, 4]):
+        at = np.array([40.0, 30.0]) if not done else np.array(ends[done[-1]][len(done) % 2])
+        expected = {k: float(np.hypot(*(np.array(ends[k][len(done) % 2]) - at))) / 2.0 for k in range(5) if k not in done}
+        assert evolution.swath_scores(away, ends, done, (40.0, 30.0), (1.0, 0.5), 5.0, 2.0) == expected
+
+
 def test_what_is_learnt_from_is_made_once(spark):
     """Several readers of the learning table do not each make it anew."""
     r, features, outputs = studies._learnable(spark, "/root/testdata/sf0.001")
