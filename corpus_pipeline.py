@@ -3,7 +3,7 @@ copies stays, sources are mixed to their weights, and the texts are encoded.
 
 ``STAGES`` lists (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. All but
 the last return the columns of ``documents``. ``run`` applies them to the table, each to all that the one before
-kept. Empty inputs give empty outputs; rows with nulls are handled as the operators' docstrings say.
+kept. Each first gives back what the driver's JVM has freed, as the stages' many plans share one driver. Empty inputs give empty outputs; rows with nulls are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm import bpe, langid, minmax_dedup, mixing, toxicity
 from furrow.llm.queries import vocabulary
-from furrow.llm.spark import settle
+from furrow.llm.spark import release, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text scores as one without features and stays; rows with a null id stay or go by their texts; each
     of repeated rows is judged, an empty table stays empty. Whole texts count, however long; extra columns are dropped.
     """
+    release(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs.select(COLUMNS), model)
 
@@ -34,6 +35,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Each of repeated rows is judged by its own text, null ids and null languages don't matter to that; of an empty table
     nothing stays, as without a learnt language none is accepted. Extra columns are dropped.
     """
+    release(spark)
     return langid.keep_accepted(docs.select(COLUMNS), langid.train(docs))
 
 
@@ -43,7 +45,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that repeat a kept id one stays, the first by text; rows with a null id all stay, as do documents
     without words, which link with nothing.
     """
+    release(spark)
     told = minmax_dedup.near_components(docs, percent=80)
+    release(spark)
     kept = told.where("kept AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
     rows = docs.select(COLUMNS)
     known = rows.join(kept, "doc_id", "left_semi")
@@ -60,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken as often as all of them; they are counted before they move, so none gathers them. Null texts and empty ones have no
     words and are not taken, null sources are one source, an empty table gives no rows, extra columns are dropped.
     """
+    release(spark)
     named = docs.select(F.xxhash64(*COLUMNS).alias("row"), *COLUMNS)
     mixed = mixing.mix(named.select(F.col("row").alias("doc_id"), "text", "source"))
     told = settle(mixed.groupBy(F.col("doc_id").alias("row")).agg(F.count("*").alias("rows"), F.sum("copies").alias("times")).where("times > 0"))
@@ -76,6 +81,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty and has no ids; null ids stay null, each of repeated rows is returned, an empty table gives
     no rows; texts are encoded whole, and other columns are not read.
     """
+    release(spark)
     path, pattern = vocabulary()
     coded = bpe.encode(docs, path, pattern, decoded=True)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

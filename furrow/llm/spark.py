@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> bool:
+    """Gives memory that the driver's JVM has freed, but that its C allocator still holds, back to the system.
+
+    Planning and compiling a hundred queries leaves some hundred MB of it, in as many arenas as there were threads. It changes
+    nothing else and takes some 30 ms; False where the JVM has no such command.
+    """
+    context = spark.sparkContext
+    jvm, new = context._jvm, context._gateway.new_array
+    try:
+        kinds, given = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.java.lang.Class.forName(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface's method, as the server's own class is in a package that is not open
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of equal keys in batches that are sorted by them, one at a time."""
     held: list[pa.RecordBatch] = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from furrow.llm import bpe, langid, mixing, queries, toxicity
+from furrow.llm.spark import release
 from tests.llm.test_text_operators import brute_components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -91,3 +92,31 @@ def test_repeated_ids(spark, folder):
 def test_stages_are_five():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language identification", "near-dedup", "mixing", "byte-level BPE"] and pipeline.ORACLE_SQL is None
     assert Path(pipeline.__file__).name == "corpus_pipeline.py" and toxicity.THRESHOLD == 0.5 and langid.UNKNOWN == "und"
+
+
+def test_stages_give_back_what_the_driver_has_freed(spark, folder, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    if not release(spark):
+        pytest.skip("this JVM can't")
+
+    def held():
+        told = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text()
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", told))) / 1024
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    blocks = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    for k, block in enumerate(blocks):
+        if k % 4:  # every fourth stays, so that the allocator can't shrink by itself
+            block.end()
+    before = held()
+    pipeline.encode(spark, docs, folder)
+    after = held()
+    for block in blocks:
+        block.end()
+    assert after < before - 30
+    called = []
+    monkeypatch.setattr(pipeline, "release", lambda s: called.append(s))
+    for _, stage in pipeline.STAGES:
+        called.clear()
+        stage(spark, docs, folder)
+        assert called
