@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -251,6 +252,39 @@ def test_bpe_long_pieces(coders):
         assert ours.encode(text) == theirs.encode_ordinary(text)
 
 
+def test_bpe_fresh_words_share_a_queue(coders):
+    r = random.Random(1)
+    text = " ".join("".join(r.choice("abdehinorst") for _ in range(10)) for _ in range(3000))
+    ours, calls = bpe.Encoder(coders[0].ranks, vocabulary()[1]), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = ours.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert got == coders[1].encode_ordinary(text)
+    assert calls["call"] < 5 * 3000  # a word in a queue of its own took 46 calls of Python functions
+
+
+def test_bpe_any_ranks():
+    def plain(ranks, raw):
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[raw]] if raw in ranks else [ranks[p] for p in parts]
+
+    r = random.Random(2)
+    for _ in range(300):  # ranks in any order, so a merge may make a pair of a lower rank
+        tokens = list({*"abc", *("".join(r.choices("abc", k=r.randint(2, 5))) for _ in range(20))})
+        r.shuffle(tokens)
+        ranks = {t.encode(): i for i, t in enumerate(tokens)}
+        words = ["".join(r.choices("abc", k=r.randint(1, 14))) for _ in range(12)]
+        assert bpe.Encoder(ranks, r"\w+").encode(" ".join(words)) == [i for w in words for i in plain(ranks, w.encode())]
+    with pytest.raises(KeyError):
+        bpe.Encoder({b"a": 0, b"ab": 1}, r"\w+").encode("aba abb")
+    assert bpe.Encoder({b"a": 0, b"ab": 1}, r"\w+").encode("aba ab") == [1, 0, 1]
+
+
 def test_rank_queue():
     r = random.Random(3)
     q, want = bpe.RankQueue(300_000), []
