@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,17 +26,9 @@ def preferences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *w) for k, w in enumerate(grid())], "preference long, w1 double, w2 double, w3 double")
 
 
-def regrets(runs: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
-    """``(field_id, instance_id, config_id, vehicle_index, preference, score, regret, applicable)`` for each nominal
-    configuration of an instance and each preference.
-
-    The score is the weighted Chebyshev distance; the regret is against the best observed one. A configuration
-    that wasn't observed ok has the instance's largest regret plus one; all are null where none was observed.
-    ``applicable(config_id, vehicle_index)`` names what goes together whatever was observed; a run that is ok but not
-    there is an error. Without that table a run counts as applicable unless its status says otherwise.
-
-    The scores of all preferences travel side by side, so the matrix is shuffled once, not once a preference.
-    """
+def _scored(runs: DataFrame, applicable: DataFrame | None) -> tuple[DataFrame, list[str], list[tuple[Column, Column]]]:
+    """Nominal configurations with the scores of all preferences side by side, so the matrix is shuffled once; their keys; the
+    score and regret at each preference."""
     rows = with_status(runs)
     ok = F.col("status") == "ok"
     fits = F.col("status") != "not_applicable"
@@ -50,11 +42,32 @@ def regrets(runs: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("instance_id")
     wide = rows.select(*keys, fits.alias("applicable"), *(s.alias(k) for k, s in scores.items()))
     wide = wide.select("*", *(f(k).over(w).alias(k + name) for k in scores for f, name in ((F.min, "low"), (F.max, "high"))))
-    told = [F.struct(F.lit(i).cast("long").alias("preference"), F.col(k).alias("score"), F.coalesce(F.col(k) - F.col(k + "low"), F.col(k + "high") - F.col(k + "low") + 1).alias("regret")) for i, k in enumerate(scores)]
-    long = wide.select(*keys, "applicable", F.explode(F.array(*told)).alias("p"))
+    told = [(F.col(k), F.coalesce(F.col(k) - F.col(k + "low"), F.col(k + "high") - F.col(k + "low") + 1)) for k in scores]
+    return wide, keys, told
+
+
+def regrets(runs: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
+    """``(field_id, instance_id, config_id, vehicle_index, preference, score, regret, applicable)`` for each nominal
+    configuration of an instance and each preference.
+
+    The score is the weighted Chebyshev distance; the regret is against the best observed one. A configuration
+    that wasn't observed ok has the instance's largest regret plus one; all are null where none was observed.
+    ``applicable(config_id, vehicle_index)`` names what goes together whatever was observed; a run that is ok but not
+    there is an error. Without that table a run counts as applicable unless its status says otherwise.
+    """
+    wide, keys, told = _scored(runs, applicable)
+    each = [F.struct(F.lit(i).cast("long").alias("preference"), s.alias("score"), r.alias("regret")) for i, (s, r) in enumerate(told)]
+    long = wide.select(*keys, "applicable", F.explode(F.array(*each)).alias("p"))
     return long.select(*keys, "p.preference", "p.score", "p.regret", "applicable")
 
 
+def wide_regrets(runs: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
+    """``(field_id, instance_id, config_id, vehicle_index, applicable, e1, e2, ...)``: :func:`regrets` with those of all
+    preferences side by side."""
+    wide, keys, told = _scored(runs, applicable)
+    return wide.select(*keys, "applicable", *(r.alias(f"e{i + 1}") for i, (_, r) in enumerate(told)))
+
+
 def random_baselines(regret: DataFrame) -> DataFrame:
     """Mean regret of a random choice among the applicable and among all nominal configurations."""
     return regret.groupBy("instance_id", "preference").agg(F.avg(F.when(F.col("applicable"), F.col("regret"))).alias("random_applicable"), F.avg("regret").alias("random_nominal"))

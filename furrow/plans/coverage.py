@@ -333,31 +333,55 @@ def _shape(rings: list[geo.Ring]) -> dict[str, float]:
     return {"field": abs(geo.signed_area(rings[0])), "holes": holes, "area": abs(geo.signed_area(rings[0])) - holes, "hull": abs(geo.signed_area(full)), "diameter": float(max(np.hypot(*(full - p).T).max() for p in full))}
 
 
+@dataclass(frozen=True)
+class _Fixed:
+    """What the features take from a field and a width alone."""
+
+    shape: dict[str, float]
+    sides: tuple[float, float]
+    around: float
+    corners: float
+    holes: float
+    angle: float
+    swaths: float
+
+
+def _fixed(rings: list[geo.Ring], width: float) -> _Fixed:
+    long, wide, _ = geo.smallest_rectangle(rings[0])
+    around, corners = sum(map(geo.perimeter, rings)), float(geo.reflex_corners(rings[0], rings[1:]))
+    return _Fixed(_shape(rings), (long, wide), around, corners, float(len(rings) - 1), geo.principal_angle(rings[0]), float(narrow_swaths(rings[0], width)))
+
+
 def feature_values(rings: list[geo.Ring], direction: float | None, spacing: float | None, width: float, radius: float) -> dict[str, float | None]:
     """The twelve features of one field with holes as obstacles; those of rows are None where there are none."""
-    shape = _shape(rings)
-    long, wide, _ = geo.smallest_rectangle(rings[0])
+    return _feature_values(_fixed(rings, width), direction, spacing, width, radius)
+
+
+def _feature_values(field: _Fixed, direction: float | None, spacing: float | None, width: float, radius: float) -> dict[str, float | None]:
+    shape, (long, wide) = field.shape, field.sides
     angle = density = ratio = None
     if spacing is not None and not math.isnan(spacing):
-        off = abs(direction - geo.principal_angle(rings[0])) % math.pi
+        off = abs(direction - field.angle) % math.pi
         angle, density, ratio = min(off, math.pi - off), math.sqrt(shape["area"]) / spacing, spacing / width
     return dict(zip(INSTANCE_FEATURES, (
-        shape["area"], sum(map(geo.perimeter, rings)) / math.sqrt(shape["area"]), 1 - shape["area"] / shape["hull"], long / wide if wide > 1e-12 else 1.0,
-        float(geo.reflex_corners(rings[0], rings[1:])), float(len(rings) - 1), shape["holes"] / shape["field"], angle, density, ratio, radius / width, float(narrow_swaths(rings[0], width)),
+        shape["area"], field.around / math.sqrt(shape["area"]), 1 - shape["area"] / shape["hull"], long / wide if wide > 1e-12 else 1.0,
+        field.corners, field.holes, shape["holes"] / shape["field"], angle, density, ratio, radius / width, field.swaths,
     )))
 
 
-def instance_features(instances: DataFrame) -> DataFrame:
-    """The twelve features of ``instances(instance_id, wkt, row_direction, row_spacing, width, radius)``; the holes of a field
-    are its obstacles. The three features of rows are null where there are none."""
+def _instance_features(batches):
+    of = lru_cache(1 << 13)(lambda wkt, width: _fixed(_rings(wkt), width))
+    for pdf in batches:
+        out = [(r.instance_id, *_feature_values(of(r.wkt, r.width), r.row_direction, r.row_spacing, r.width, r.radius).values()) for r in pdf.itertuples(index=False)]
+        yield pd.DataFrame(out, columns=["instance_id", *INSTANCE_FEATURES]).astype({c: float for c in INSTANCE_FEATURES})
 
-    def run(batches):
-        for pdf in batches:
-            out = [(r.instance_id, *feature_values(_rings(r.wkt), r.row_direction, r.row_spacing, r.width, r.radius).values()) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame(out, columns=["instance_id", *INSTANCE_FEATURES]).astype({c: float for c in INSTANCE_FEATURES})
 
+def instance_features(instances: DataFrame) -> DataFrame:
+    """The twelve features of ``instances(instance_id, wkt, row_direction, row_spacing, width, radius)``; the holes of a field
+    are its obstacles. The three features of rows are null where there are none. What a shape and a width fix is computed once
+    for the instances that a task meets, as long as it remembers them."""
     columns = ("wkt", "row_direction", "row_spacing", "width", "radius")
-    return instances.select("instance_id", *columns).mapInPandas(run, "instance_id string, " + ", ".join(f"{c} double" for c in INSTANCE_FEATURES))
+    return instances.select("instance_id", *columns).mapInPandas(_instance_features, "instance_id string, " + ", ".join(f"{c} double" for c in INSTANCE_FEATURES))
 
 
 def analytic_references(instances: DataFrame) -> DataFrame:

@@ -305,3 +305,32 @@ def test_models_get_equal_rows_once(spark):
     for r in got.collect():
         want = recommender.fit_predict(x[fold != r.fold, None], y[fold != r.fold, None], np.array([[x[int(r.instance_id[1:])]]]), 6)
         assert r.e1 == pytest.approx(want[0, 0], abs=1e-12)
+
+
+def test_rows_of_equal_features_are_learnt_from_together(monkeypatch):
+    """Trees get a row for each distinct row of features, whose outputs differ, and predict as from all rows."""
+    sizes, grow = [], recommender.grow
+    monkeypatch.setattr(recommender, "grow", lambda x, *more: sizes.append(len(x)) or grow(x, *more))
+    r = np.random.default_rng(8)
+    x, y = np.repeat(np.array([[0.0, 1.0], [0.0, 2.0], [3.0, 1.0]]), 20, axis=0), r.uniform(size=(60, 4))
+    p = recommender.fit_predict(x, y, x, trees=5)
+    assert set(sizes) == {3} and p == pytest.approx(np.repeat(y.reshape(3, 20, 4).mean(1), 20, axis=0), abs=1e-12)
+    turn = r.permutation(60)
+    assert (recommender.fit_predict(x[turn], y[turn], x, trees=5) == p).all()
+
+
+def test_a_model_predicts_distinct_rows_once(spark):
+    """A fold's rows of equal features get one prediction, made from the other folds' mean outputs; unfit rows get it, too."""
+    rows = [("cd"[k % 2], f"i{k}", k % 3, k % 7 != 0, -0.0 if k % 4 < 2 else 0.0, float(k // 4 % 3) if k % 5 else None, float(k) if k % 11 else None) for k in range(240)]
+    d = spark.createDataFrame(rows, "config_id string, instance_id string, fold long, applicable boolean, x double, z double, e1 double")
+    got = {r.instance_id: r for r in recommender.cross_predict(d, ["x", "z"], ["e1"], trees=4).collect()}
+    assert len(got) == 240
+    for c, i, fold, _, _, z, _ in rows:
+        same = [r[6] for r in rows if r[0] == c and r[2] != fold and r[3] and r[6] is not None and (r[5] or 0.0) == (z or 0.0)]
+        assert (got[i].config_id, got[i].fold) == (c, fold) and got[i].e1 == pytest.approx(np.mean(same), abs=1e-9)
+
+
+def test_models_have_partitions_of_their_own(spark):
+    for n in (1, 7, 70):
+        at = spark.createDataFrame([(k,) for k in recommender._places(spark, n)], "place int").repartition(n, "place")
+        assert at.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() == [1] * n

@@ -4,12 +4,13 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from furrow.operators import confirm, pareto, recommender, regret, splits, stats
-from furrow.plans import coverage, evolution, studies
+from furrow.plans import coverage, evolution, queries, studies
 from furrow.sources import readers, runs
 
 SIZES = "field_id string, instance_id string, vehicle_index long, effective_pool long, front_size long"
@@ -270,3 +271,24 @@ def test_what_is_learnt_from_is_made_once(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "parquet" not in plan and "Exchange" not in plan
     assert r.count() == r.select("instance_id", "config_id").distinct().count() == 420 and len(features) == 12 and len(outputs) == 22
+
+
+def test_regrets_side_by_side(spark):
+    d = "/root/testdata/sf0.001"
+    runs, fits = queries._runs(spark, d), queries._applicable(spark)
+    wide = regret.wide_regrets(runs, fits)
+    told = wide.select("instance_id", "config_id", F.posexplode(F.array(*(f"e{k + 1}" for k in range(22)))).alias("preference", "regret"))
+    want = regret.regrets(runs, fits).select("instance_id", "config_id", F.col("preference").cast("int").alias("preference"), "regret")
+    assert told.count() == want.count() and not told.exceptAll(want).count()
+
+
+def test_a_shape_is_measured_once_for_its_instances(monkeypatch):
+    """Instances of a field share what its shape fixes."""
+    calls, of = [], coverage.narrow_swaths
+    monkeypatch.setattr(coverage, "narrow_swaths", lambda *a: calls.append(1) or of(*a))
+    wkt = "POLYGON ((0 0, 60 0, 60 30, 30 30, 30 60, 0 60, 0 0))"
+    asked = pd.DataFrame([(str(k), wkt, 0.3, 0.75 if k % 2 else float("nan"), 5.0, 2.0) for k in range(6)], columns=["instance_id", "wkt", "row_direction", "row_spacing", "width", "radius"])
+    (got,) = coverage._instance_features([asked])
+    want = [coverage.feature_values(list(coverage._rings(wkt)), 0.3, s, 5.0, 2.0) for s in asked["row_spacing"]]
+    assert len(calls) == 1 + len(want)
+    pd.testing.assert_frame_equal(got.drop(columns="instance_id"), pd.DataFrame(want).astype(float))
